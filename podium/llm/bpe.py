@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from podium.llm.common import chunks, ship, texts
+from podium.llm.common import BASE, BASE_INVERSE, chunks, powers, ship, texts
 
 # Code point classes.
 OTHER, LETTER, NUMBER, SPACE, BLANK = range(5)
@@ -169,22 +169,6 @@ def _marks() -> np.ndarray:
     return np.random.default_rng(11).integers(1, 1 << 63, sys.maxunicode + 1, dtype=np.uint64)
 
 
-#: An odd number and its inverse modulo 2**64.
-BASE = 0x9E3779B97F4A7C15
-BASE_INVERSE = pow(BASE, -1, 1 << 64)
-_powers: dict[int, np.ndarray] = {}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """``base ** i`` modulo 2**64 for i up to ``n`` at least."""
-    have = _powers.get(base)
-    if have is None or len(have) <= n:
-        p = np.full(max(n, 1 << 21) + 1, base, np.uint64)
-        p[0] = 1
-        have = _powers[base] = np.cumprod(p, dtype=np.uint64)
-    return have
-
-
 def gather(flat: np.ndarray, offsets: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Concatenates the slices ``which`` of ``flat``, and where each starts in the result."""
     begin = offsets[which]

@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
@@ -90,8 +91,6 @@ def texts(documents: DataFrame) -> DataFrame:
 
 def chunks(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with about ``most`` bytes of ``column`` each, one row at least."""
-    import numpy as np
-
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -109,3 +108,41 @@ def tasks_for(spark: SparkSession, total_bytes: int, each: int) -> int:
     """A number of shuffle partitions that grows with the data, never under the session's."""
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return max(least, -(-int(total_bytes) // each))
+
+
+def learning_rows(table: DataFrame, modulus: int, held_out: int) -> DataFrame:
+    """Rows that may be learnt from: crc32 of the id as text isn't ``held_out`` modulo ``modulus``."""
+    return table.where(F.col("doc_id").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % modulus != held_out))
+
+
+def is_held_out(modulus: int, held_out: int):
+    """The column that marks rows kept from learning; false for null ids."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % modulus == held_out, F.lit(False))
+
+
+def labelled(documents: DataFrame, labels: DataFrame, label: str, n: int) -> DataFrame:
+    """``doc_id, text, label`` of at most ``n`` labelled documents of each class 0 and 1, by a hash of the id.
+
+    The ids of a bounded sample are broadcast; a repeated id counts once. Null texts are empty.
+    """
+    marked = labels.where(f"{label} in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min(label).cast("int").alias("label"))
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    some = [marked.where(F.col("label") == v).orderBy(*order).limit(n) for v in (0, 1)]
+    ids = some[0].unionByName(some[1])
+    return texts(documents).join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"])
+
+
+#: An odd number and its inverse modulo 2**64.
+BASE = 0x9E3779B97F4A7C15
+BASE_INVERSE = pow(BASE, -1, 1 << 64)
+_powers: dict[int, np.ndarray] = {}
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """``base ** i`` modulo 2**64 for i up to ``n`` at least."""
+    have = _powers.get(base)
+    if have is None or len(have) <= n:
+        p = np.full(max(n, 1 << 21) + 1, base, np.uint64)
+        p[0] = 1
+        have = _powers[base] = np.cumprod(p, dtype=np.uint64)
+    return have

@@ -23,6 +23,26 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"), limit=4096)
 
 
+def op6_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from podium.llm import rule_ensemble
+
+    documents = table(spark, sf_dir, "documents")
+    return rule_ensemble.score(documents, rule_ensemble.fit(documents, table(spark, sf_dir, "labels")))
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from podium.llm import quality_rules
+
+    documents = table(spark, sf_dir, "documents")
+    return quality_rules.apply(documents, quality_rules.fit(documents, table(spark, sf_dir, "labels")))
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from podium.llm.simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from podium.llm.bpe import round_trip
 
