@@ -23,6 +23,13 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from podium.llm import toxicity
+
+    documents = table(spark, sf_dir, "documents")
+    return toxicity.score(documents, toxicity.fit(documents, table(spark, sf_dir, "labels")))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from podium.llm.token_count import token_counts
 
@@ -36,6 +43,12 @@ def op6_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_ensemble.score(documents, rule_ensemble.fit(documents, table(spark, sf_dir, "labels")))
 
 
+def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from podium.llm.topk import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"), k=20, scale=64, every=20)
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from podium.llm import quality_rules
 
@@ -61,4 +74,6 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from podium.llm import topk
+
+    return {"op7_top_k": topk.SQL}
