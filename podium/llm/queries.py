@@ -36,6 +36,20 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"), limit=4096)
 
 
+#: Ids that the tokenizer library gives to special strings inside texts.
+SPECIAL = (("<|endoftext|>", 50256),)
+
+
+def pack_documents(documents: DataFrame) -> DataFrame:
+    from podium.llm.packing import pack, pieces
+
+    return pack(pieces(documents, _tokenizer("byte_bpe_50k.tiktoken"), length=2048, special=SPECIAL, end=0), capacity=2048)
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op6_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     from podium.llm import rule_ensemble
 
