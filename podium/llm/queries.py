@@ -17,6 +17,12 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from podium.llm.licenses import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from podium.llm.suffix_dedup import digests
 
@@ -88,6 +94,6 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from podium.llm import topk
+    from podium.llm import licenses, topk
 
-    return {"op7_top_k": topk.SQL}
+    return {"op1_license_scan": licenses.sql(), "op7_top_k": topk.SQL}
