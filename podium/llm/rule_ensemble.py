@@ -166,7 +166,10 @@ def _scored(documents: DataFrame, model: Ensemble, keep: list[str]) -> tuple[Dat
     s = statistics(F.col(f"{own}text"))
     d = documents.select(*keep, F.coalesce(F.col("text"), F.lit("")).alias(f"{own}text"))
     d = d.select(*keep, *[c.alias(f"{own}{k}") for k, c in s.items()])
-    return d.select(*keep, model.score({k: F.col(f"{own}{k}") for k in s}).alias(f"{own}score")), f"{own}score"
+    # Always true, but not the same for each row: else a filter on the score would be pushed below
+    # the statistics, with a copy of these in every rule.
+    here = F.monotonically_increasing_id() >= 0
+    return d.select(*keep, F.when(here, model.score({k: F.col(f"{own}{k}") for k in s})).alias(f"{own}score")), f"{own}score"
 
 
 def score(documents: DataFrame, model: Ensemble, modulus: int = 4, held_out: int = 2, threshold: float = 0.7) -> DataFrame:
