@@ -11,6 +11,8 @@ from podium.functions import board_key, iso_text, score_text
 from podium.operators import boards, changelog, compare, monitor, snapshots
 from podium.params import DAY, HOUR, SPARSE as P
 from podium.sources import ingest
+from podium.streaming import pipeline
+from podium.streaming.window_total import hot_streaks, window_totals
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -192,13 +194,42 @@ def board_difference(spark, d):
 
 _DAY15 = 1_705_363_200_000
 
+
+def _gains(spark, d) -> DataFrame:
+    return boards.level_gains(_subs(spark, d)).select("uid", "t", "gain")
+
+
+def stream_window_total(spark, d):
+    source = pipeline.replay(_gains(spark, d), "gains", parts=3)
+    got = pipeline.run_to_end(spark, lambda: pipeline.totals_stream(spark, source, P), "totals")
+    return pipeline.real(window_totals(got))
+
+
+def stream_hot_streak(spark, d):
+    source = pipeline.replay(_gains(spark, d), "gains", parts=3)
+    got = pipeline.run_to_end(spark, lambda: pipeline.totals_stream(spark, source, P, [P.short, P.long], "ratio"), "streaks")
+    return pipeline.real(hot_streaks(got))
+
+
+def _board_stream(spark, d) -> DataFrame:
+    scores = window_total(spark, d).select("uid", "t", F.col("total").cast("double").alias("score"))
+    source = pipeline.replay(scores, "scores", parts=3)
+    return pipeline.run_to_end(spark, lambda: pipeline.board_stream(spark, source, P), "board")
+
+
+def stream_topn(spark, d):
+    """Snapshots of the streamed board; with these parameters the stream's rule and the batch's agree."""
+    rows = _board_stream(spark, d).where("kind = 'SNAPSHOT' AND seq > 0")
+    return rows.select("taken", F.col("seq").cast("int").alias("rank"), "uid", F.col("score").cast("long").alias("total"), "t")
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         submissions, level_gain, peer_gains, window_total, window_total_raw, topn_window_total, alltime_level, topn_alltime_level, weekly_levels_gained, weekly_last_level,
         weekly_board_keys, user_alltime_total, team_mvp, team_mvp_history, hot_streak, topn_hot_streak, snapshots_topn, snapshots_docs, snapshots_flat, snapshot_compare,
         snapshot_outcomes, latest_batch_top10, dashboard_sums, profile_enriched_board, throughput_per_window, counter_rates, score_texts, json_ingest, cdc_ingest,
-        board_from_changelog, board_difference,
+        board_from_changelog, board_difference, stream_window_total, stream_hot_streak, stream_topn,
     )
 }
 
@@ -327,3 +358,8 @@ SQL: dict[str, str] = {
         SELECT 'INSERT' AS change_type, l.uid AS id, CAST(l.level AS DOUBLE) AS score, l.t AS "lastUpdateTime", CAST(o.level AS DOUBLE) AS "previousScore"
         FROM levels l LEFT JOIN old o ON l.uid = o.uid WHERE o.uid IS NULL OR o.level <> l.level OR o.t <> l.t""",
 }
+SQL |= {
+    "stream_window_total": SQL["window_total"],
+    "stream_hot_streak": SQL["hot_streak"],
+    "stream_topn": f"WITH {_TWO} SELECT taken, rank, uid, total, t FROM other",
+}
