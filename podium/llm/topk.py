@@ -109,9 +109,9 @@ def search(query_ids: np.ndarray, q: np.ndarray, blocks: Iterator[tuple[np.ndarr
             lower, upper = lists.bounds(up, down, depth)
             if own.any():
                 lower[own] = upper[own] = np.iinfo(np.int32).min if dtype != np.int64 else np.iinfo(np.int64).min
-            limit = reached.astype(np.float64)
+            limit = reached if dtype == np.int64 else reached.astype(np.float64)
             if lists.n > k:
-                limit = np.maximum(limit, np.partition(lower, lists.n - k, axis=1)[:, lists.n - k].astype(np.float64))
+                limit = np.maximum(limit, np.partition(lower, lists.n - k, axis=1)[:, lists.n - k].astype(limit.dtype))
             left = upper >= limit[:, None]  # the others are outsiders
             if left.sum() <= max(8 * k * len(q), 0.02 * left.size):
                 break
@@ -127,7 +127,7 @@ def search(query_ids: np.ndarray, q: np.ndarray, blocks: Iterator[tuple[np.ndarr
         rows = np.concatenate([np.repeat(np.arange(len(q)), k), row])
         scores = np.concatenate([best_score.ravel(), score])
         found = np.concatenate([best_id.ravel(), ids[col]])
-        order = np.lexsort((found, -scores.astype(np.float64) if dtype != np.int64 else ~scores, rows))
+        order = np.lexsort((found, ~scores, rows))  # ~x falls as x rises
         rows = rows[order]
         place = np.arange(len(rows)) - np.searchsorted(rows, rows)
         keep = order[place < k]
@@ -140,7 +140,7 @@ def top_k(embeddings: DataFrame, k: int = 20, scale: int = 64, every: int = 20)
     """``query_id, rank, vec_id, score``: for each vector whose id is divisible by ``every``, the ``k`` vectors of
     the highest inner product of floor(scale * x), all if there are fewer, ties to the smaller id.
 
-    Rows with a null id or vector, or a null or non-finite component, take no part. Of vectors with one id,
+    Scores have to fit a long. Rows with a null id or vector, or a null or non-finite component, take no part. Of vectors with one id,
     one is the query, and none is a candidate for it; each is a candidate for the others. Vectors of
     different lengths meet as if the shorter ended in zeros. Other columns are ignored.
     """
