@@ -81,10 +81,11 @@ def board_stream(spark: SparkSession, source: tuple[str, str], p: Params) -> Dat
     return topn_stream(real(scores), p)
 
 
-def start_live(gains: DataFrame, p: Params, store: BoardStore, audit: str, checkpoint: str, board: str = "trailing"):
+def start_live(gains: DataFrame, p: Params, store: BoardStore, audit: str, checkpoint: str, board: str = "trailing", once: bool = False):
     """The live job: totals, then each micro-batch's Top-N against the stored board; an audit log of changes as JSON.
 
-    ``gains``: a stream uid, t, gain. Boards are written by version, so a repeated batch changes nothing.
+    ``gains``: a stream uid, t, gain. Boards are written by version, so a repeated batch changes nothing. With
+    ``once`` the query ends when all that is there has been read.
     """
 
     def apply(rows: DataFrame, batch: int) -> None:
@@ -105,7 +106,8 @@ def start_live(gains: DataFrame, p: Params, store: BoardStore, audit: str, check
         changes.unpersist()
 
     results = trailing_stream(gains, [p.window], p.watermark)
-    return results.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).outputMode("append").start()
+    writer = results.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).outputMode("append")
+    return (writer.trigger(availableNow=True) if once else writer).start()
 
 
 def snapshot_documents(results: DataFrame) -> DataFrame:

@@ -35,8 +35,19 @@ class Trailing(StatefulProcessor):
         self.handle = handle
         self.rows = handle.getMapState("rows", _TIME, _SUMS)
         self.last = handle.getValueState("last", _LAST)
+        self.buffers: dict[tuple, dict[int, tuple[int, int]]] = {}  # what this task has read of ``rows``
+
+    def _buffer(self, key) -> dict[int, tuple[int, int]]:
+        """The user's buffered rows; timers of one user come one after the other, and each would read them all."""
+        have = self.buffers.get(tuple(key))
+        if have is None:
+            if len(self.buffers) >= 10_000:
+                self.buffers.clear()
+            have = self.buffers[tuple(key)] = {k[0]: tuple(v) for k, v in self.rows.iterator()}
+        return have
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        self.buffers.pop(tuple(key), None)
         last = self.last.get() if self.last.exists() else (-1, 0.0, 0)
         new: dict[int, list[int]] = {}
         late = []
@@ -62,15 +73,17 @@ class Trailing(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = expiredTimerInfo.getExpiryTimeInMs()
         last = self.last.get() if self.last.exists() else (-1, 0.0, 0)
-        have = {k[0]: v for k, v in self.rows.iterator()}
+        have = self._buffer(key)
         if now not in have:  # the deadline for what is left after a long pause
             if have and now > max(have) + max(self.widths):
                 self.rows.clear()
+                have.clear()
             return
         sums = [sum(v[0] for t, v in have.items() if now - w <= t <= now) for w in self.widths]
         counts = [sum(v[1] for t, v in have.items() if now - w <= t <= now) for w in self.widths]
         for t in [t for t in have if now - t > max(self.widths)]:
             self.rows.removeKey((t,))
+            del have[t]
         if self.value == "sum":
             value = float(sums[0])
         else:
