@@ -1,7 +1,8 @@
 """Trailing sums per user on event time, with state: buffered peers, the last emitted result, the last time.
 
-Each user's times get a timer; when the watermark passes one, its result comes out, with the one before. A
-row is late, and dropped and counted, if its time isn't after the last one that came out for its user.
+A user has one timer, for the next time that is to come out; when the watermark passes it, the results of all
+times up to the watermark come out, each with the one before. A row is late, and dropped and counted, if
+its time isn't after the last one that came out for its user.
 """
 
 from __future__ import annotations
@@ -14,9 +15,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-_SUMS = T.StructType([T.StructField("gain", T.LongType()), T.StructField("n", T.LongType())])
-_TIME = T.StructType([T.StructField("t", T.LongType())])
-_LAST = T.StructType([T.StructField("t", T.LongType()), T.StructField("value", T.DoubleType()), T.StructField("late", T.LongType())])
+#: A user's state in one value: buffered times with their sums and counts (those not after ``last`` are out already),
+#: the last time and value that came out, late rows so far, and the one timer that is set (-1: none).
+_STATE = T.StructType(
+    [T.StructField(c, T.ArrayType(T.LongType())) for c in ("ts", "gains", "ns")]
+    + [T.StructField("last", T.LongType()), T.StructField("value", T.DoubleType()), T.StructField("late", T.LongType()), T.StructField("timer", T.LongType())]
+)
 
 #: One row for each (user, time), and for each late row (kind ``late``, which has its time only).
 RESULT = "kind string, uid string, t bigint, sums array<bigint>, counts array<bigint>, previous double, event_time timestamp"
@@ -33,65 +37,81 @@ class Trailing(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.rows = handle.getMapState("rows", _TIME, _SUMS)
-        self.last = handle.getValueState("last", _LAST)
-        self.buffers: dict[tuple, dict[int, tuple[int, int]]] = {}  # what this task has read of ``rows``
-
-    def _buffer(self, key) -> dict[int, tuple[int, int]]:
-        """The user's buffered rows; timers of one user come one after the other, and each would read them all."""
-        have = self.buffers.get(tuple(key))
-        if have is None:
-            if len(self.buffers) >= 10_000:
-                self.buffers.clear()
-            have = self.buffers[tuple(key)] = {k[0]: tuple(v) for k, v in self.rows.iterator()}
-        return have
+        self.state = handle.getValueState("state", _STATE)
+
+    def _load(self) -> tuple[dict[int, tuple[int, int]], int, float, int, int]:
+        if not self.state.exists():
+            return {}, -1, 0.0, 0, -1
+        ts, gains, ns, last, value, late, timer = self.state.get()
+        return {t: (g, n) for t, g, n in zip(ts, gains, ns)}, last, value, late, timer
+
+    def _save(self, rows: dict[int, tuple[int, int]], last: int, value: float, late: int, timer: int) -> None:
+        ts = sorted(rows)
+        self.state.update(([int(t) for t in ts], [int(rows[t][0]) for t in ts], [int(rows[t][1]) for t in ts], int(last), float(value), int(late), int(timer)))
+
+    def _set(self, timer: int, to: int) -> int:
+        """One timer for each user: for the next time that is to come out, or for clearing up."""
+        if timer != to:
+            if timer >= 0:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(to)
+        return to
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        self.buffers.pop(tuple(key), None)
-        last = self.last.get() if self.last.exists() else (-1, 0.0, 0)
-        new: dict[int, list[int]] = {}
-        late = []
+        have, last, value, late, timer = self._load()
+        too_late = []
         for part in rows:
             for t, gain in zip(part["t"].tolist(), part["gain"].tolist()):
-                if t <= last[0]:
-                    late.append(t)
+                if t <= last:
+                    too_late.append(t)
                     continue
-                sums = new.setdefault(t, [0, 0])
-                sums[0] += int(gain)
-                sums[1] += 1
-        for t, (gain, n) in new.items():
-            if self.rows.containsKey((t,)):
-                have = self.rows.getValue((t,))
-                gain, n = gain + have[0], n + have[1]
-            else:
-                self.handle.registerTimer(t)
-            self.rows.updateValue((t,), (gain, n))
-        if late:
-            self.last.update((last[0], last[1], last[2] + len(late)))
-            yield _frame([("late", key[0], t, None, None, None) for t in late])
+                g, n = have.get(t, (0, 0))
+                have[t] = g + int(gain), n + 1
+        waiting = min((t for t in have if t > last), default=-1)
+        if waiting >= 0:
+            timer = self._set(timer, waiting)
+        self._save(have, last, value, late + len(too_late), timer)
+        if too_late:
+            yield _frame([("late", key[0], t, None, None, None) for t in too_late])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """Everything that the watermark has passed comes out at once, each time on its own."""
+        have, last, value, late, _ = self._load()
         now = expiredTimerInfo.getExpiryTimeInMs()
-        last = self.last.get() if self.last.exists() else (-1, 0.0, 0)
-        have = self._buffer(key)
-        if now not in have:  # the deadline for what is left after a long pause
-            if have and now > max(have) + max(self.widths):
-                self.rows.clear()
-                have.clear()
-            return
-        sums = [sum(v[0] for t, v in have.items() if now - w <= t <= now) for w in self.widths]
-        counts = [sum(v[1] for t, v in have.items() if now - w <= t <= now) for w in self.widths]
-        for t in [t for t in have if now - t > max(self.widths)]:
-            self.rows.removeKey((t,))
-            del have[t]
-        if self.value == "sum":
-            value = float(sums[0])
-        else:
-            long = sums[1] / counts[1]
-            value = (sums[0] / counts[0]) / long if long else 0.0
-        self.last.update((now, value, last[2]))
-        self.handle.registerTimer(now + max(self.widths) + max(self.widths) // 2 + 1)
-        yield _frame([("total", key[0], now, sums, counts, last[1])])
+        passed, longest = max(now, timerValues.getCurrentWatermarkInMs()), max(self.widths)
+        ts = sorted(have)
+        begins, sums, counts, out = [0] * len(self.widths), [0] * len(self.widths), [0] * len(self.widths), []
+        for t in ts:
+            if t > passed:
+                break
+            for k, w in enumerate(self.widths):
+                sums[k] += have[t][0]
+                counts[k] += have[t][1]
+                while t - ts[begins[k]] > w:
+                    sums[k] -= have[ts[begins[k]]][0]
+                    counts[k] -= have[ts[begins[k]]][1]
+                    begins[k] += 1
+            if t <= last:
+                continue
+            out.append(("total", key[0], t, list(sums), list(counts), value))
+            last = t
+            if self.value == "sum":
+                value = float(sums[0])
+            else:
+                long = sums[1] / counts[1]
+                value = (sums[0] / counts[0]) / long if long else 0.0
+        if not out and ts and passed > max(ts) + longest:  # a long pause: nothing counts any more
+            have = {}
+        have = {t: x for t, x in have.items() if t > last - longest - 1}
+        waiting = min((t for t in have if t > last), default=-1)
+        timer = -1
+        if waiting >= 0:
+            timer = self._set(-1, waiting)
+        elif have and out:
+            timer = self._set(-1, last + longest + longest // 2 + 1)
+        self._save(have, last, value, late, timer)
+        if out:
+            yield _frame(out)
 
     def close(self) -> None:
         pass

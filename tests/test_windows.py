@@ -66,47 +66,28 @@ def test_late_rows(spark):
     from podium.streaming.window_total import Trailing
 
     class State:
-        def __init__(self):
-            self.d = {}
+        value = None
 
         def exists(self):
-            return bool(self.d)
+            return self.value is not None
 
         def get(self):
-            return self.d["v"]
+            return self.value
 
         def update(self, v):
-            self.d["v"] = v
-
-        def containsKey(self, k):
-            return k in self.d
-
-        def getValue(self, k):
-            return self.d[k]
-
-        def updateValue(self, k, v):
-            self.d[k] = v
-
-        def removeKey(self, k):
-            del self.d[k]
-
-        def clear(self):
-            self.d.clear()
-
-        def iterator(self):
-            return iter(list(self.d.items()))
+            self.value = v
 
     class Handle:
-        timers = []
-
-        def getMapState(self, *a):
-            return State()
+        timers = set()
 
         def getValueState(self, *a):
             return State()
 
         def registerTimer(self, t):
-            self.timers.append(t)
+            self.timers.add(t)
+
+        def deleteTimer(self, t):
+            self.timers.remove(t)
 
     class Expired:
         def __init__(self, t):
@@ -115,19 +96,27 @@ def test_late_rows(spark):
         def getExpiryTimeInMs(self):
             return self.t
 
+        getCurrentWatermarkInMs = getExpiryTimeInMs
+
     import pandas as pd
 
     p = Trailing([X])
     p.init(Handle())
     feed = lambda *rows: list(p.handleInputRows(("u",), iter([pd.DataFrame(rows, columns=["t", "gain"])]), None))
     assert feed((BASE, 10), (BASE + MINUTE, 20)) == []
-    fire = lambda t: [r.sums for f in p.handleExpiredTimer(("u",), None, Expired(t)) for r in f.itertuples()]
+
+    def fire(t):
+        """The one timer that is set, when the watermark has come to ``t``."""
+        (at,) = (timer for timer in Handle.timers if timer <= t)
+        Handle.timers.remove(at)
+        return [r.sums for f in p.handleExpiredTimer(("u",), Expired(t), Expired(at)) for r in f.itertuples()]
+
     assert fire(BASE) == [[10]] and fire(BASE + MINUTE) == [[30]]
     (late,) = feed((BASE + 30_000, 5))
-    assert late["kind"].tolist() == ["late"] and p.last.get()[2] == 1
-    assert fire(BASE + MINUTE + X + X // 2 + 1) == [] and p.rows.d == {} and p.last.exists()
-    feed((BASE + 20 * MINUTE, 5))
-    assert fire(BASE + 20 * MINUTE) == [[5]]
+    assert late["kind"].tolist() == ["late"] and p.state.get()[5] == 1
+    assert fire(BASE + MINUTE + X + X // 2 + 1) == [] and p.state.get()[0] == [] and p.state.get()[4] == 30.0
+    feed((BASE + 20 * MINUTE, 5), (BASE + 21 * MINUTE, 1), (BASE + 40 * MINUTE, 2))
+    assert fire(BASE + 22 * MINUTE) == [[5], [6]] and fire(BASE + 41 * MINUTE) == [[2]]
 
 
 def submissions(spark, rows):
