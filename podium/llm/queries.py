@@ -94,6 +94,6 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from podium.llm import licenses, topk
+    from podium.llm import licenses, suffix_dedup, topk
 
-    return {"op1_license_scan": licenses.sql(), "op7_top_k": topk.SQL}
+    return {"op1_license_scan": licenses.sql(), "op2_suffix_dedup": suffix_dedup.SQL, "op7_top_k": topk.SQL}

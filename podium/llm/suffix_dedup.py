@@ -525,3 +525,20 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
         return rows.set_column(k, rows.schema.field(k), pa.array(text, rows.schema.field(k).type))
 
     return _run(documents, result, documents.schema)
+
+
+#: :func:`digests` in DuckDB's SQL; it forms every window, so for small tables only.
+SQL = """
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT rid, doc_id, s, hex(b[s:s + 49]) AS x FROM (SELECT rid, doc_id, b, unnest(range(1, octet_length(b) - 48)) AS s FROM d)),
+r AS (SELECT rid, s FROM (SELECT rid, doc_id, s, min(doc_id) OVER (PARTITION BY x) AS m FROM w) WHERE m < doc_id),
+g AS (SELECT rid, s, sum(fresh) OVER (PARTITION BY rid ORDER BY s ROWS UNBOUNDED PRECEDING) AS span
+      FROM (SELECT rid, s, CASE WHEN s > lag(s, 1, -1000) OVER (PARTITION BY rid ORDER BY s) + 50 THEN 1 ELSE 0 END AS fresh FROM r)),
+p AS (SELECT rid, span, min(s) AS a, max(s) + 50 AS e FROM g GROUP BY rid, span),
+k AS (SELECT d.rid, p.a, lag(p.e, 1, 1) OVER (PARTITION BY d.rid ORDER BY p.a) AS f, hex(b) AS h FROM d JOIN p USING (rid)),
+t AS (SELECT rid, string_agg(substr(h, 2 * f - 1, 2 * (a - f)), '' ORDER BY a) AS head, count(*) AS n_spans FROM k GROUP BY rid),
+l AS (SELECT rid, max(e) AS e, sum(e - a) AS n_removed FROM p GROUP BY rid)
+SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+       CASE WHEN t.rid IS NULL THEN sha256(b) ELSE sha256(unhex(concat(head, substr(hex(b), 2 * l.e - 1)))) END AS kept_sha256
+FROM d LEFT JOIN t USING (rid) LEFT JOIN l USING (rid)
+"""
