@@ -7,6 +7,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import cache
 from pathlib import Path
 
 import numpy as np
@@ -38,8 +39,12 @@ def shared_dir(spark: SparkSession) -> str:
     master = spark.sparkContext.master
     if not master.startswith("local") or master.startswith("local-cluster"):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    spark.conf.set("spark.checkpoint.dir", f"file://{tempfile.mkdtemp(prefix='podium-')}")
-    return spark.conf.get("spark.checkpoint.dir")
+    return _own_dir()
+
+
+@cache
+def _own_dir() -> str:
+    return f"file://{tempfile.mkdtemp(prefix='podium-')}"
 
 
 def staged(df: DataFrame, name: str, **options) -> DataFrame:
