@@ -13,9 +13,10 @@ import base64
 import heapq
 import sys
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import cache
-from itertools import chain, pairwise
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -186,8 +187,8 @@ class Merges:
     A mark is trusted only if the piece's length and outer code points agree as well.
     """
 
-    def __init__(self, ranks: dict[bytes, int], limit: int = 300_000):
-        self.ranks, self.limit = ranks, limit
+    def __init__(self, ranks: dict[bytes, int], limit: int = 600_000):
+        self.pairs, self.limit = Pairs(ranks), limit
         self._empty()
 
     def _empty(self) -> None:
@@ -197,7 +198,7 @@ class Merges:
 
     def look(self, marks: np.ndarray, checks: np.ndarray, piece_of) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """``flat, offsets, slots``: ids of each of the sorted distinct ``marks``; merges what is new."""
-        if len(self.marks) + len(marks) > self.limit:
+        if len(self.marks) + len(marks) > self.limit or len(self.flat) > 16 * self.limit:
             self._empty()
         at = np.searchsorted(self.marks, marks)
         near = np.minimum(at, max(len(self.marks) - 1, 0))
@@ -208,11 +209,10 @@ class Merges:
         new = np.flatnonzero(~known | other)
         if not len(new):
             return self.flat, self.offsets, slots
-        merged = [merge(piece_of(i).encode("utf-8", "surrogatepass"), self.ranks) for i in new.tolist()]
-        sizes = np.fromiter(map(len, merged), np.int64, len(merged))
+        flat, offsets = self.pairs.merge([piece_of(i).encode("utf-8", "surrogatepass") for i in new.tolist()])
         slots[new] = len(self.offsets) - 1 + np.arange(len(new))
-        self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(sizes)])
-        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(merged), np.int32, sizes.sum())])
+        self.offsets = np.concatenate([self.offsets, self.offsets[-1] + offsets[1:]])
+        self.flat = np.concatenate([self.flat, flat])
         out = self.flat, self.offsets, slots
         keep = new[~other[new]]
         self.marks = np.insert(self.marks, at[keep], marks[keep])
@@ -221,6 +221,108 @@ class Merges:
         return out
 
 
+class Pairs:
+    """Merges many pieces side by side: in each round, every piece joins its pair of the lowest rank.
+
+    Pieces of about one length are rows of a matrix. Ranks of pairs come from an open hash table of all pairs of
+    tokens that make a token; after a join only the two pairs beside it are looked up anew.
+    """
+
+    #: Widths of the matrices; longer pieces are merged one by one.
+    SIZES = [6, 9, 13, 18, 26, 40]
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks, self.none = ranks, np.int32(2**31 - 1)
+        self.byte = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int32)
+        self.side = max(ranks.values(), default=0) + 1
+        found = [(a * self.side + b, r) for t, r in ranks.items() for i in range(1, len(t)) if (a := ranks.get(t[:i])) is not None and (b := ranks.get(t[i:])) is not None]
+        self.bits = max(4, (4 * len(found)).bit_length())
+        self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, self.none, np.int32)
+        keys, values = np.array([k for k, _ in found], np.int64), np.array([v for _, v in found], np.int32)
+        at = self._slot(keys)
+        while len(keys):  # those that find their slot taken try the next one
+            free = self.keys[at] < 0
+            self.keys[at[free]], self.values[at[free]] = keys[free], values[free]
+            left = self.keys[at] != keys
+            keys, values, at = keys[left], values[left], (at[left] + 1) & ((1 << self.bits) - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(BASE)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Rank of each pair of tokens, or ``none``."""
+        keys = a.astype(np.int64) * self.side + b
+        at = self._slot(keys)
+        have = self.keys[at]
+        out = np.where(have == keys, self.values[at], self.none)
+        left = np.flatnonzero((have != keys) & (have >= 0))
+        while len(left):
+            at[left] = (at[left] + 1) & ((1 << self.bits) - 1)
+            have = self.keys[at[left]]
+            hit = have == keys[left]
+            out[left[hit]] = self.values[at[left[hit]]]
+            left = left[~hit & (have >= 0)]
+        return out
+
+    def merge(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces, one after the other, and where each piece's begin."""
+        done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # rows of pieces, their ids, how many of these count
+        whole, groups = [], [[] for _ in self.SIZES]
+        for i, piece in enumerate(pieces):
+            if piece in self.ranks:
+                whole.append(i)
+            elif len(piece) > self.SIZES[-1]:
+                ids = merge(piece, self.ranks)
+                done.append((np.array([i]), np.array([ids], np.int32), np.array([len(ids)])))
+            else:
+                groups[bisect_left(self.SIZES, len(piece))].append(i)
+        done.append((np.array(whole, np.int64), np.array([[self.ranks[pieces[i]]] for i in whole], np.int32).reshape(-1, 1), np.ones(len(whole), np.int64)))
+        for size, own in zip(self.SIZES, groups):
+            if own:
+                done += self._side_by_side([pieces[i] for i in own], np.array(own), size)
+        sizes = np.zeros(len(pieces) + 1, np.int64)
+        for rows, _, count in done:
+            sizes[rows + 1] = count
+        offsets = np.cumsum(sizes)
+        flat = np.empty(offsets[-1], np.int32)
+        for rows, ids, count in done:
+            column = np.arange(ids.shape[1])
+            flat[(offsets[rows][:, None] + column)[column < count[:, None]]] = ids[column < count[:, None]]
+        return flat, offsets
+
+    def _side_by_side(self, pieces: list[bytes], rows: np.ndarray, size: int):
+        """Merges pieces of up to ``size`` bytes; yields (rows, ids, counts) as pieces come to their ends."""
+        token = self.byte[np.frombuffer(b"".join([p.ljust(size, b"\0") for p in pieces]), np.uint8)].reshape(len(pieces), size)
+        count = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        rank = self.rank(token[:, :-1].ravel(), token[:, 1:].ravel()).reshape(len(pieces), size - 1)
+        rank[np.arange(size - 1) >= count[:, None] - 1] = self.none
+        while len(rows):
+            at = rank.argmin(axis=1)
+            low = rank[np.arange(len(rows)), at]
+            over = low == self.none
+            if over.any():
+                yield rows[over], token[over], count[over]
+                live = ~over
+                rows, token, rank, at, low, count = rows[live], token[live], rank[live], at[live], low[live], count[live]
+                if not len(rows):
+                    break
+            width = token.shape[1] - 1
+            token[np.arange(len(rows)), at] = low
+            count = count - 1
+            column = np.arange(width)
+            token = np.take_along_axis(token, column + (column > at[:, None]), axis=1)
+            if width == 1:
+                yield rows, token, count
+                break
+            column = column[:-1]
+            rank = np.take_along_axis(rank, column + (column >= at[:, None]), axis=1)
+            before, after = np.flatnonzero(at > 0), np.flatnonzero(at < width - 1)
+            rank[before, at[before] - 1] = self.rank(token[before, at[before] - 1], token[before, at[before]])
+            fresh = self.rank(token[after, at[after]], token[after, at[after] + 1])
+            fresh[at[after] + 1 >= count[after]] = self.none
+            rank[after, at[after]] = fresh
+
+
 def merge(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
     """Joins the adjacent pair of the lowest rank, the leftmost first, until no pair has one."""
     whole = ranks.get(piece)
