@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from podium.llm.common import BASE, BASE_INVERSE, chunks, powers, ship, texts
+from podium.llm.common import BASE, BASE_INVERSE, chunks, powers, release, ship, texts
 
 # Code point classes.
 OTHER, LETTER, NUMBER, SPACE, BLANK = range(5)
@@ -496,6 +496,7 @@ def encode(documents: DataFrame, path: str, offsets: bool = False) -> DataFrame:
             if offsets:
                 columns.append(pa.array([c.offsets(i) for i in ids], pa.list_(pa.int64())))
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "offsets"][: len(columns)])
+        release()
 
     return texts(documents).mapInArrow(run, f"doc_id {kind}, ids array<int>" + ", offsets array<bigint>" * offsets)
 
@@ -537,5 +538,6 @@ def round_trip(documents: DataFrame, path: str) -> DataFrame:
                 [part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
+        release()
 
     return texts(documents).mapInArrow(run, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
@@ -109,6 +111,13 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterato
             at = to
 
 
+def release() -> None:
+    """Gives freed memory back to the system: workers stay for the next task, and others run beside them."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only some C libraries have it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def tasks_for(spark: SparkSession, total_bytes: int, each: int) -> int:
     """A number of shuffle partitions that grows with the data, never under the session's."""
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -147,7 +156,7 @@ def powers(base: int, n: int) -> np.ndarray:
     """``base ** i`` modulo 2**64 for i up to ``n`` at least."""
     have = _powers.get(base)
     if have is None or len(have) <= n:
-        p = np.full(max(n, 1 << 21) + 1, base, np.uint64)
+        p = np.full(max(n, 1 << 20) + 1, base, np.uint64)
         p[0] = 1
         have = _powers[base] = np.cumprod(p, dtype=np.uint64)
     return have

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from podium.llm.common import chunks, ship, staged, texts
+from podium.llm.common import chunks, release, ship, staged, texts
 
 #: Pieces in a shard, islands of a shard, epochs, generations of an epoch, chromosomes of an island.
 SHARD, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 8192, 3, 3, 12, 6
@@ -59,6 +59,7 @@ def pieces(documents: DataFrame, ranks: str, length: int = 2048, special: tuple[
             columns = [part.column("doc_id").take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(size, pa.int64()), pa.array(crc, pa.int64())]
             columns += [pa.array(own, pa.list_(pa.int32()))] * ids
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(columns)])
+        release()
 
     return texts(documents).mapInArrow(run, schema)
 
@@ -175,6 +176,7 @@ def _epoch(capacity: int, epoch: int):
                     bins, need = len(population[0]), -(-sum(size) // capacity)
                     chromosomes = [_as_array(p, len(size)).tobytes() for p in population]
                 yield _island_rows([(shard, island, sizes, chromosomes, bins, need)])
+        release()
 
     return run
 
