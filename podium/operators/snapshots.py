@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 from podium.params import Params
 
 
-def _bounds(totals: DataFrame) -> DataFrame:
-    return totals.agg(F.min("t").alias("t0"), F.max("t").alias("t1"))
+def bounds(rows: DataFrame) -> DataFrame:
+    """``t0, t1``: first and last time; one row. Best taken from what the totals are made of, which is cheaper
+    to read again than totals are to compute again."""
+    return rows.agg(F.min("t").alias("t0"), F.max("t").alias("t1"))
 
 
 def cutoff(i: Column, p: Params) -> Column:
@@ -22,26 +24,27 @@ def cutoff(i: Column, p: Params) -> Column:
     return F.greatest(F.lit(0), F.ceil(i * p.snapshot / p.cleanup) - 2) * p.cleanup
 
 
-def grid(totals: DataFrame, p: Params) -> DataFrame:
-    """``snapshot, taken, cutoff``: every snapshot there is, those without rows too."""
+def grid(span: DataFrame, p: Params) -> DataFrame:
+    """``snapshot, taken, cutoff`` of :func:`bounds`: every snapshot there is, those without rows too."""
     i = F.col("snapshot")
-    some = _bounds(totals).where(f"t1 - t0 >= {p.snapshot}")
+    some = span.where(f"t1 - t0 >= {p.snapshot}")
     rows = some.select("t0", F.explode(F.sequence(F.lit(1).cast("long"), F.expr(f"(t1 - t0) div {p.snapshot}"))).alias("snapshot"))
     return rows.select("snapshot", (F.col("t0") + i * p.snapshot).alias("taken"), (F.col("t0") + cutoff(i, p)).alias("cutoff"))
 
 
-def members(totals: DataFrame, p: Params, inclusive: bool = False) -> DataFrame:
+def members(totals: DataFrame, p: Params, inclusive: bool = False, span: DataFrame | None = None) -> DataFrame:
     """``snapshot, taken, uid, total, t``: each user's last total in each snapshot.
 
-    A total counts if ``cutoff < t <= taken``; with ``inclusive``, the rule of the stream, if ``cutoff <= t < taken``.
+    ``span``: :func:`bounds`, if known. A total counts if ``cutoff < t <= taken``; with ``inclusive``, the rule of the stream, if ``cutoff <= t < taken``.
     Partly aggregated before the shuffle by (snapshot, user).
     """
     spark = totals.sparkSession
     s, c = p.snapshot, p.cleanup
     rows = spark.sql(
         f"""SELECT uid, total, t, t - b0 AS age, b1 - b0 AS length, b0 FROM
-        (SELECT *, (SELECT min(t) FROM {{totals}}) AS b0, (SELECT max(t) FROM {{totals}}) AS b1 FROM {{totals}})""",
+        (SELECT *, (SELECT t0 FROM {{span}}) AS b0, (SELECT t1 FROM {{span}}) AS b1 FROM {{totals}})""",
         totals=totals,
+        span=bounds(totals) if span is None else span,
     )
     first = F.greatest(F.lit(1).cast("long"), F.ceil(F.col("age") / s))
     last = F.least(F.floor((F.col("age") + 2 * c) / s), F.floor(F.col("length") / s))
@@ -52,10 +55,10 @@ def members(totals: DataFrame, p: Params, inclusive: bool = False) -> DataFrame:
     return rows.groupBy("snapshot", "taken", "uid").agg(F.max_by("total", "t").alias("total"), F.max("t").alias("t"))
 
 
-def top(totals: DataFrame, p: Params, inclusive: bool = False) -> DataFrame:
+def top(totals: DataFrame, p: Params, inclusive: bool = False, span: DataFrame | None = None) -> DataFrame:
     """``snapshot, taken, rank, uid, total, t``: the ``top_n`` of each snapshot."""
     w = Window.partitionBy("snapshot").orderBy(F.desc("total"), "t", "uid")
-    got = members(totals, p, inclusive).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= p.top_n)
+    got = members(totals, p, inclusive, span).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= p.top_n)
     return got.select("snapshot", "taken", "rank", "uid", "total", "t")
 
 

@@ -86,31 +86,36 @@ def topn_hot_streak(spark, d):
     return boards.top_n(boards.latest(hot_streak(spark, d), "hotness"), "hotness", P.top_n)
 
 
+def _span(spark, d) -> DataFrame:
+    return snapshots.bounds(ingest.events(spark, d))
+
+
 def snapshots_topn(spark, d):
-    return snapshots.top(window_total(spark, d), P)
+    return snapshots.top(window_total(spark, d), P, span=_span(spark, d))
 
 
 def snapshots_docs(spark, d):
     totals = window_total(spark, d)
-    docs = snapshots.documents(snapshots.top(totals, P), snapshots.grid(totals, P))
+    span = _span(spark, d)
+    docs = snapshots.documents(snapshots.top(totals, P, span=span), snapshots.grid(span, P))
     one = F.transform("users", lambda u: F.concat_ws(":", u["userId"], u["score"].cast("long").cast("string"), u["lastUpdateTime"].cast("string")))
     return docs.select(F.col("_id").alias("taken"), F.size("users").cast("long").alias("n_users"), F.array_join(one, ";").alias("users"))
 
 
 def snapshots_flat(spark, d):
-    rows = snapshots.flat(snapshots.documents(snapshots.top(window_total(spark, d), P)))
+    rows = snapshots.flat(snapshots.documents(snapshots_topn(spark, d)))
     return rows.select("_id", F.col("rank").cast("long").alias("rank"), "userId", "score", iso_text(F.col("lastUpdateTime")).alias("updated"))
 
 
 def snapshot_compare(spark, d):
     totals = window_total(spark, d)
-    a, b = (snapshots.documents(snapshots.top(totals, P, inclusive=x)) for x in (False, True))
+    a, b = (snapshots.documents(snapshots.top(totals, P, x, _span(spark, d))) for x in (False, True))
     return compare.summary(a, b).drop("examples")
 
 
 def snapshot_outcomes(spark, d):
     totals = window_total(spark, d)
-    a, b = (snapshots.documents(snapshots.top(totals, P, inclusive=x)) for x in (False, True))
+    a, b = (snapshots.documents(snapshots.top(totals, P, x, _span(spark, d))) for x in (False, True))
     return compare.align(a, b.where(f"_id % 2 = 0 OR _id % 5 = 0"))
 
 
