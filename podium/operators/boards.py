@@ -25,9 +25,14 @@ def gain_when(level: Column, before: Column) -> Column:
     return F.when(d > 0, d).when(d.isNotNull(), F.lit(0))
 
 
+def clipped(delta: Column) -> Column:
+    """The same where the difference is known; levels, which need a running sum, are then not computed."""
+    return F.greatest(delta, F.lit(0))
+
+
 def level_gains(submissions: DataFrame) -> DataFrame:
     """``event_id, uid, t, delta, gain``."""
-    return submissions.select("event_id", "uid", "t", F.col("g").alias("delta"), gain(F.col("level"), F.col("level") - F.col("g")).alias("gain"))
+    return submissions.select("event_id", "uid", "t", F.col("g").alias("delta"), clipped(F.col("g")).alias("gain"))
 
 
 def peers(submissions: DataFrame) -> DataFrame:
@@ -87,7 +92,7 @@ def weekly_last_level(submissions: DataFrame) -> DataFrame:
 
 def user_alltime_total(submissions: DataFrame, p: Params) -> DataFrame:
     """``event_id, uid, team, t, gain, total``: running total of each user, one row for each submission."""
-    rows = submissions.select("event_id", "uid", "team", "t", gain(F.col("level"), F.col("level") - F.col("g")).alias("gain"))
+    rows = submissions.select("event_id", "uid", "team", "t", clipped(F.col("g")).alias("gain"))
     return running(rows, "uid", ["t", "event_id"], "t", p.slice, {"total": F.col("gain")})
 
 

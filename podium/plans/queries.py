@@ -26,7 +26,8 @@ def submissions(spark, d):
 
 
 def level_gain(spark, d):
-    return boards.level_gains(_subs(spark, d)).where("gain > 0")
+    rows = _subs(spark, d).select("event_id", "uid", "t", F.col("g").alias("delta"), boards.gain(F.col("level"), F.col("level") - F.col("g")).alias("gain"))
+    return rows.where("gain > 0")
 
 
 def peer_gains(spark, d):
@@ -126,7 +127,7 @@ def latest_batch_top10(spark, d):
 
 
 def dashboard_sums(spark, d):
-    rows = _subs(spark, d).select("uid", "g", boards.gain(F.col("level"), F.col("level") - F.col("g")).alias("gain"))
+    rows = _subs(spark, d).select("uid", "g", boards.clipped(F.col("g")).alias("gain"))
     return boards.field_sums(rows, "uid", ["gain", "g"])
 
 
