@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from podium.llm import quality_rules, rule_ensemble, simhash, suffix_dedup
+from podium.llm import near_copies, quality_rules, rule_ensemble, suffix_dedup
 from podium.llm.common import staged, table
 from podium.llm.queries import pack_documents
 
@@ -24,8 +24,8 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each component: the one with the smallest id."""
-    return simhash.deduplicate(docs)
+    """Keeps one document of each component of near copies (5-word shingles, 80 %): the one with the smallest id."""
+    return near_copies.deduplicate(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -96,6 +96,27 @@ def texts(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+def text_mark():
+    """The column that marks a row's text, a null one as the empty one."""
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+
+
+def representatives(documents: DataFrame, rooted: DataFrame) -> DataFrame:
+    """One row of ``documents`` for each root of ``rooted`` (``doc_id, mark, root``; :func:`text_mark`), all columns.
+
+    The smallest id stands for a root, then the smallest mark; an id that stands for two roots by two texts has two
+    rows. Rows without an id all stay.
+    """
+    rows = rooted.where("doc_id is not null").groupBy("root", "doc_id", "mark").count()
+    first = rows.groupBy("root").agg(F.min(F.struct("doc_id", "mark", "count")).alias("r"))
+    keep = staged(first.select("r.doc_id", F.col("r.mark").alias("__mark"), "r.count"), "keep")
+    marked = documents.withColumn("__mark", text_mark())
+    on = ["doc_id", "__mark"]
+    once = marked.join(keep.where("count = 1"), on, "left_semi")
+    again = marked.join(keep.where("count > 1"), on, "left_semi").dropDuplicates(on)  # only repeated rows are dealt out
+    return once.unionByName(again).select(documents.columns).unionByName(documents.where("doc_id is null"))
+
+
 def chunks(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with about ``most`` bytes of ``column`` each, one row at least."""
     for batch in batches:
