@@ -115,7 +115,8 @@ def _rule_array() -> str:
     groups = []
     for keyword, own in by.items():
         structs = ", ".join(f"named_struct('priority', {p}, 'number', {n}, 'label', {_quoted(label)}, 'regex', {_quoted(x)})" for p, n, label, _, x in own)
-        groups.append(f"named_struct('keyword', {_quoted(f' {keyword} ')}, 'rules', array({structs}))")
+        # A match has a word that starts with the keyword: forms such as gplv3 join the version to it.
+        groups.append(f"named_struct('keyword', {_quoted(f' {keyword}')}, 'rules', array({structs}))")
     return f"array({', '.join(groups)})"
 
 
