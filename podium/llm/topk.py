@@ -108,7 +108,7 @@ def search(query_ids: np.ndarray, q: np.ndarray, blocks: Iterator[tuple[np.ndarr
             depth = max(1, int(lists.n * part))
             lower, upper = lists.bounds(up, down, depth)
             if own.any():
-                lower[own] = upper[own] = np.iinfo(np.int32).min if dtype != np.int64 else np.iinfo(np.int64).min
+                lower[own] = upper[own] = -np.inf if dtype != np.int64 else np.iinfo(np.int64).min
             limit = reached if dtype == np.int64 else reached.astype(np.float64)
             if lists.n > k:
                 limit = np.maximum(limit, np.partition(lower, lists.n - k, axis=1)[:, lists.n - k].astype(limit.dtype))
