@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from podium.llm.common import chunks, ship, staged, tasks_for, texts
+from podium.llm.common import chunks, representatives, ship, staged, tasks_for, text_mark, texts
 from podium.llm.components import components, forest
 
 #: Distances to the first SIFT of these are looked at in turn; seeded, so that every worker has the same.
@@ -177,7 +177,7 @@ def deduplicate(documents: DataFrame, distance: int = 3, width: int = 3) -> Data
 
     Rows without an id can't be told apart and all stay.
     """
-    found = near_duplicates(documents, distance, width)
-    keep = found.where("doc_id = component_id").select("doc_id").distinct()
-    stay = documents.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return stay.unionByName(documents.where("doc_id is null"))
+    # An id may have several texts: rows go by id and text here, and so do their components.
+    name = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", text_mark().alias("mark")))
+    found = near_duplicates(documents.select(name.alias("doc_id"), "text"), distance, width)
+    return representatives(documents, found.select("doc_id.doc_id", "doc_id.mark", F.col("component_id").alias("root")))
