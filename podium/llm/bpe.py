@@ -22,7 +22,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from podium.llm.common import BASE, BASE_INVERSE, chunks, powers, release, ship, texts
+from podium.llm.common import BASE, BASE_INVERSE, chunks, powers, release, same_as_before, ship, texts
+from podium.llm.common import gather as slices
 
 # Code point classes.
 OTHER, LETTER, NUMBER, SPACE, BLANK = range(5)
@@ -172,19 +173,14 @@ def _marks() -> np.ndarray:
 
 def gather(flat: np.ndarray, offsets: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Concatenates the slices ``which`` of ``flat``, and where each starts in the result."""
-    begin = offsets[which]
-    sizes = offsets[which + 1] - begin
-    to = np.zeros(len(which) + 1, np.int64)
-    np.cumsum(sizes, out=to[1:])
-    at = np.repeat(begin - to[:-1], sizes)
-    at += np.arange(len(at))
-    return np.take(flat, at, mode="clip"), to
+    return slices(flat, offsets[which], offsets[which + 1] - offsets[which])
 
 
 class Merges:
-    """Ids of pieces that came before, as sorted arrays of 64-bit marks; emptied at ``limit`` pieces.
+    """Ids of pieces that came before, found by sorted 64-bit marks; emptied at ``limit`` pieces.
 
-    A mark is trusted only if the piece's length and outer code points agree as well.
+    Marks only say where to look: a known piece's ids are used if all its code points are the same. A piece under
+    the mark of another one is merged each time it comes.
     """
 
     def __init__(self, ranks: dict[bytes, int], limit: int = 600_000):
@@ -192,31 +188,39 @@ class Merges:
         self._empty()
 
     def _empty(self) -> None:
-        self.marks, self.checks = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.slots, self.offsets = np.zeros(0, np.int64), np.zeros(1, np.int64)
-        self.flat = np.zeros(0, np.int32)
+        self.marks, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.flat, self.offsets = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.points, self.begin = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
-    def look(self, marks: np.ndarray, checks: np.ndarray, piece_of) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """``flat, offsets, slots``: ids of each of the sorted distinct ``marks``; merges what is new."""
-        if len(self.marks) + len(marks) > self.limit or len(self.flat) > 16 * self.limit:
+    def look(self, marks: np.ndarray, points: np.ndarray, begin: np.ndarray, sizes: np.ndarray, piece_of) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``flat, offsets, slots``: ids of each piece, slices of ``points`` in the order of their ``marks``; merges what is new."""
+        if len(self.marks) + len(marks) > self.limit or max(len(self.flat), len(self.points)) > 16 * self.limit:
             self._empty()
         at = np.searchsorted(self.marks, marks)
-        near = np.minimum(at, max(len(self.marks) - 1, 0))
-        known = self.marks[near] == marks if len(self.marks) else np.zeros(len(marks), bool)
-        slots = np.where(known, self.slots[near], 0) if len(self.marks) else np.zeros(len(marks), np.int64)
-        other = known.copy()  # another piece has this mark
-        other[known] = self.checks[near[known]] != checks[known]
-        new = np.flatnonzero(~known | other)
+        slots = np.zeros(len(marks), np.int64)
+        known, free = np.zeros(len(marks), bool), np.ones(len(marks), bool)  # this very piece; nothing has this mark
+        if len(self.marks):
+            near = np.minimum(at, len(self.marks) - 1)
+            free = self.marks[near] != marks
+            slots = self.slots[near]
+            known = ~free & (self.begin[slots + 1] - self.begin[slots] == sizes)
+            of = np.flatnonzero(known)
+            if len(of):  # pieces have a code point at least
+                x, to = slices(points, begin[of], sizes[of])
+                known[of] = np.logical_and.reduceat(x == slices(self.points, self.begin[slots[of]], sizes[of])[0], to[:-1])
+        new = np.flatnonzero(~known)
         if not len(new):
             return self.flat, self.offsets, slots
         flat, offsets = self.pairs.merge([piece_of(i).encode("utf-8", "surrogatepass") for i in new.tolist()])
         slots[new] = len(self.offsets) - 1 + np.arange(len(new))
+        own, to = slices(points, begin[new], sizes[new])
+        self.points, self.begin = np.concatenate([self.points, own]), np.concatenate([self.begin, self.begin[-1] + to[1:]])
         self.offsets = np.concatenate([self.offsets, self.offsets[-1] + offsets[1:]])
         self.flat = np.concatenate([self.flat, flat])
         out = self.flat, self.offsets, slots
-        keep = new[~other[new]]
+        keep = new[free[new]]
+        keep = keep[np.append(True, marks[keep][1:] != marks[keep][:-1])] if len(keep) else keep
         self.marks = np.insert(self.marks, at[keep], marks[keep])
-        self.checks = np.insert(self.checks, at[keep], checks[keep])
         self.slots = np.insert(self.slots, at[keep], slots[keep])
         return out
 
@@ -426,26 +430,25 @@ class Codec:
         return out
 
     def _encode(self, batch: list[str]) -> list[np.ndarray]:
-        """Equal pieces of the batch are found by a 64-bit mark and their length; one of each is merged."""
+        """Pieces are ordered by a 64-bit mark; of neighbours with the same code points one is merged."""
         joined, points, starts, cut = self.pieces(batch)
         if not len(starts):
             return [np.zeros(0, np.int32) for _ in batch]
         n = len(points)
-        ends = np.append(starts[1:], n)
+        sizes = np.diff(starts, append=n)
+        ends = starts + sizes
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum(np.take(_marks(), points, mode="clip") * powers(BASE, n)[:n], out=sums[1:])
         marks = (sums[ends] - sums[starts]) * powers(BASE_INVERSE, n)[starts]
-        marks ^= (ends - starts).astype(np.uint64) << np.uint64(40)
+        marks ^= sizes.astype(np.uint64) << np.uint64(40)
         order = np.argsort(marks)
         marks = marks[order]
-        fresh = np.ones(len(marks), bool)
-        np.not_equal(marks[1:], marks[:-1], out=fresh[1:])
+        fresh = ~same_as_before(points, starts[order], sizes[order])
         which = np.empty(len(marks), np.int64)
         which[order] = np.cumsum(fresh) - 1
         at = order[fresh]
         a, b = starts[at], ends[at]
-        checks = (b - a) << 42 ^ points[a].astype(np.int64) << 21 ^ points[b - 1]
-        flat, offsets, slots = self.cache.look(marks[fresh], checks, lambda i: joined[a[i] : b[i]])
+        flat, offsets, slots = self.cache.look(marks[fresh], points, a, b - a, lambda i: joined[a[i] : b[i]])
         which = slots[which]
         ids, to = gather(flat, offsets, which)
         return [ids[a:b] for a, b in pairwise(to[cut].tolist())]

@@ -167,6 +167,58 @@ def labelled(documents: DataFrame, labels: DataFrame, label: str, n: int) -> Dat
     return texts(documents).join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"])
 
 
+def gather(flat: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Concatenates slices of ``flat`` by their places and sizes, and where each starts in the result."""
+    to = np.zeros(len(sizes) + 1, np.int64)
+    np.cumsum(sizes, out=to[1:])
+    at = np.repeat(begin - to[:-1], sizes)
+    at += np.arange(len(at))
+    return np.take(flat, at, mode="clip"), to
+
+
+def same_as_before(flat: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether each slice of ``flat`` has the same content as the slice listed before it; never true for the first."""
+    out = np.zeros(len(sizes), bool)
+    if len(sizes) < 2:
+        return out
+    np.equal(sizes[1:], sizes[:-1], out=out[1:])
+    of = np.flatnonzero(out)
+    of = of[sizes[of] > 0]
+    if len(of):
+        x, to = gather(flat, begin[of], sizes[of])
+        y, _ = gather(flat, begin[of - 1], sizes[of])
+        out[of] = np.logical_and.reduceat(x == y, to[:-1])
+    return out
+
+
+def numbered(marks: np.ndarray, flat: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A number for each slice of ``flat``; two slices have one number if and only if their content is equal.
+
+    Equal slices must have equal ``marks``. Marks only bring slices together: content decides, and slices whose
+    marks meet by chance (or by design) are told apart by a table of their contents.
+    """
+    order = np.argsort(marks, kind="stable")
+    tied = np.zeros(len(marks), bool)
+    np.equal(marks[order][1:], marks[order][:-1], out=tied[1:])
+    same = np.zeros(len(marks), bool)
+    of = np.flatnonzero(tied)
+    if len(of):  # of neighbours under one mark, pairs side by side
+        pairs = np.stack([order[of - 1], order[of]], axis=1).ravel()
+        same[of] = same_as_before(flat, begin[pairs], sizes[pairs])[1::2]
+    new = np.cumsum(~same) - 1
+    out = np.empty(len(marks), np.int64)
+    out[order] = new
+    odd = np.flatnonzero(tied & ~same)
+    if len(odd):  # different contents under one mark: equal ones may stand apart
+        fresh, heads = int(new[-1]) + 1, np.cumsum(~tied) - 1
+        for head in np.unique(heads[odd]).tolist():
+            known: dict[bytes, int] = {}
+            for i in order[np.searchsorted(heads, head) : np.searchsorted(heads, head, side="right")].tolist():
+                out[i] = known.setdefault(flat[begin[i] : begin[i] + sizes[i]].tobytes(), fresh + len(known))
+            fresh += len(known)
+    return out
+
+
 #: An odd number and its inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
 BASE_INVERSE = pow(BASE, -1, 1 << 64)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from podium.llm.common import BASE, BASE_INVERSE, BLOB_ROWS, chunks, powers, ship, staged
+from podium.llm.common import BASE, BASE_INVERSE, BLOB_ROWS, chunks, numbered, powers, ship, staged
 
 WINDOW, KMER, SHALLOW = 50, 16, 16
 #: Bytes of text in a block, and bytes of all texts for each group of marks.
@@ -195,7 +195,7 @@ def _groups(e: Entries, shared: np.ndarray, parts: int) -> Groups:
     np.cumsum(np.take(_MARKS, e.raw) * powers(BASE, n)[:n], out=sums[1:])
     key = (sums[start + size] - sums[start]) * powers(BASE_INVERSE, n)[start] + size.astype(np.uint64) * _B
     key ^= key >> np.uint64(31)
-    _, first, group = np.unique(key, return_index=True, return_inverse=True)
+    _, first, group = np.unique(numbered(key, e.raw, start, size), return_index=True, return_inverse=True)
     smallest = np.full(len(first), np.iinfo(np.int64).max)
     np.minimum.at(smallest, group, e.ids[use])
     first = use[first]
