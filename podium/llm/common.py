@@ -49,18 +49,36 @@ def _own_dir() -> str:
     return f"file://{tempfile.mkdtemp(prefix='podium-')}"
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, dropped at exit at the latest."""
+    path = f"{shared_dir(spark)}/podium-{name}-{uuid.uuid4().hex}"
+    if not _written:
+        atexit.register(_drop_all)
+    _written.append((spark, path))
+    return path
+
+
 def staged(df: DataFrame, name: str, **options) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
-    Cuts lineage: a lost executor afterwards only costs a reread. Tables go at exit.
+    Cuts lineage: a lost executor afterwards only costs a reread. :func:`drop` takes the table away, at the latest it
+    goes at exit.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/podium-{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.options(**options).parquet(path)
-    if not _written:
-        atexit.register(_drop_all)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes staged tables; only for tables that no later plan reads."""
+    for t in tables:
+        at = next((x for x in _written if x[1] == t.staged_at), None)
+        if at is not None:
+            _written.remove(at)
+            drop_path(*at)
 
 
 def _drop_all() -> None:
