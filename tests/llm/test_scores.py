@@ -105,25 +105,45 @@ def test_toxicity_edges(spark, messy, messy_rows, empty, no_labels):
 
 
 def test_windows_cover_a_text():
+    """Every word is in one window, in order; windows are no longer than they may be and hold no cut word that fits in one."""
+    rng = np.random.default_rng(1)
     for n in (0, 1, 63, 64, 65, 112, 113, 1000):
-        text = bytes(range(256)) * 4
-        ws = toxicity.windows(text[:n])
-        assert (not ws) == (n == 0)
-        at = 0
-        for w in ws:
-            assert text[:n].startswith(w, at) if len(w) else False
-            at += toxicity.STEP
-        assert not ws or at - toxicity.STEP + len(ws[-1]) == n
+        for text in ((bytes(range(256)) * 4)[:n], bytes(rng.choice(list(b"abcdefgh  \n"), n).astype(np.uint8)), b"x" * n, b" " * n):
+            ws = toxicity.windows(text)
+            assert b"".join(b"".join(w.split()) for w in ws) == b"".join(text.split())
+            assert all(0 < len(w) <= toxicity.WINDOW for w in ws)
+            words = [w for w in text.split() if len(w) <= toxicity.WINDOW]
+            assert [w for x in ws for w in x.split() if w in words] == words or any(len(w) > toxicity.WINDOW for w in text.split())
 
 
-def test_dictionaries_tell_texts_apart():
+def two_kinds():
+    """Windows of texts with an insult each few words, and of texts with another rare word instead."""
     rng = np.random.default_rng(0)
-    plain = [bytes(rng.choice(list(b"abcdefghijklmnopqrstuvwxyz"), 9).astype(np.uint8)) for _ in range(200)]
-    text = lambda bad: b" ".join(b"worthless" if bad and i % 5 == 2 else plain[rng.integers(200)] for i in range(60))
-    toxic, ordinary = [text(True) for _ in range(40)], [text(False) for _ in range(40)]
-    model = toxicity.train(toxic, ordinary)
-    assert model.toxic.endswith(b" worthless ") and b"worthless" not in model.ordinary
-    assert toxicity.gains(model, text(True)).max() >= 4 and toxicity.gains(model, text(False)).max() <= 2
+    word = lambda k: bytes(rng.choice(list(b"abcdefghijklmnopqrstuvwxyz"), k).astype(np.uint8))
+    plain = [word(9) for _ in range(300)]
+    text = lambda own: b" ".join(own if i % 6 == 2 else plain[rng.integers(300)] for i in range(80))
+    return [text(b"worthless") for _ in range(60)], [text(b"gardening") for _ in range(60)]
+
+
+def test_dictionaries_tell_texts_apart():
+    """Each class's dictionary explains its own class; swapping the classes swaps the sign."""
+    a, b = two_kinds()
+    cut = lambda texts: [toxicity.windows(t) for t in texts[:40]]
+    one, other = toxicity.train(cut(a), cut(b)), toxicity.train(cut(b), cut(a))
+    assert len(one.toxic) == len(one.ordinary) and len(other.toxic) == len(other.ordinary)
+    mean = lambda m, texts: np.mean([toxicity.gains(m, t).mean() for t in texts[40:]])
+    assert mean(one, a) > 1 + mean(one, b) and mean(other, b) > 1 + mean(other, a)
+
+
+def test_toxicity_learns_the_same_again(spark):
+    a, b = two_kinds()
+    docs = [(i, (a if i % 2 else b)[i // 2].decode()) for i in range(120)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    marks = spark.createDataFrame([(i, i % 2) for i in range(120)], "doc_id long, toxic int")
+    a, b = (toxicity.fit(df.repartition(n), marks.repartition(n)) for n in (1, 4))
+    assert a == b
+    rows = toxicity.score(df, a).collect()
+    assert np.mean([r["predicted"] == r["doc_id"] % 2 for r in rows]) > 0.95
 
 
 def test_rule_ensemble(spark):
