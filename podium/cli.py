@@ -4,6 +4,9 @@
     python -m podium.cli generate-json --rows 10000 --out DIR
     python -m podium.cli replay-parquet --input DIR --boards DIR [--rate FILES]
     python -m podium.cli replay-json --input DIR --boards DIR
+    python -m podium.cli replay-parquet-kafka --input DIR --servers S --topic T --checkpoint DIR [--rate FILES]
+    python -m podium.cli start-producer --rate N --out DIR [--seconds S]
+    python -m podium.cli start-producer --rate N --servers S --topic T --checkpoint DIR
     python -m podium.cli query NAME --data DIR [--out DIR]
     python -m podium.cli compare --a FILE --b FILE
 
@@ -43,6 +46,19 @@ def parser() -> argparse.ArgumentParser:
         v.add_argument("--input", required=True)
         v.add_argument("--boards", required=True)
         v.add_argument("--rate", type=int, default=0)
+    v = verbs.add_parser("replay-parquet-kafka")
+    v.add_argument("--input", required=True)
+    v.add_argument("--rate", type=int, default=0)
+    v = [v, verbs.add_parser("start-producer")]
+    v[1].add_argument("--rate", type=int, default=env("RATE", 10))
+    v[1].add_argument("--users", type=int, default=env("USERS", 200))
+    v[1].add_argument("--seed", type=int, default=env("SEED", 0))
+    v[1].add_argument("--out", help="a folder for JSON lines, instead of a broker")
+    v[1].add_argument("--seconds", type=int, help="how long; without it until stopped")
+    for x in v:
+        x.add_argument("--servers", default=os.environ.get("PODIUM_SERVERS"))
+        x.add_argument("--topic", default=os.environ.get("PODIUM_TOPIC", "leaderboard_update"))
+        x.add_argument("--checkpoint")
     v = verbs.add_parser("query")
     v.add_argument("name")
     v.add_argument("--data", required=True)
@@ -75,6 +91,17 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     if a.verb.startswith("generate"):
         rows = as_files(generate.generate(spark, a.rows, a.users, seed=a.seed)).orderBy("updatedAt")
         (ingest.write_json_lines if a.verb.endswith("json") else ingest.write_parquet)(rows, a.out)
+    elif a.verb == "replay-parquet-kafka":
+        options = {"path": a.input} | ({"maxFilesPerTrigger": a.rate} if a.rate else {})
+        ingest.to_kafka(ingest.stream(spark, "parquet", **options), a.topic, a.servers, a.checkpoint).awaitTermination()
+    elif a.verb == "start-producer":
+        rows = as_files(generate.live(spark, a.rate, a.users, a.seed))
+        if a.out:
+            query = rows.writeStream.format("json").option("path", a.out).option("checkpointLocation", a.checkpoint or f"{a.out}/_checkpoint").start()
+        else:
+            query = ingest.to_kafka(rows, a.topic, a.servers, a.checkpoint)
+        if (query.awaitTermination(a.seconds) if a.seconds else query.awaitTermination()) is False:
+            query.stop()
     elif a.verb.startswith("replay"):
         options = {"path": a.input} | ({"maxFilesPerTrigger": a.rate} if a.rate else {})
         source = ingest.stream(spark, a.verb.removeprefix("replay-"), **options)

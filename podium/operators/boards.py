@@ -50,8 +50,7 @@ def window_total_raw(submissions: DataFrame, p: Params) -> DataFrame:
     """``event_id, uid, t, total, prev_total``: the same for each submission, peers not joined; the one before by (t, event_id)."""
     rows = level_gains(submissions)
     got = trailing(rows, "uid", "t", p.slice, {"total": (F.col("gain"), p.window)})
-    w = Window.partitionBy("uid").orderBy("t", "event_id")
-    return got.select("event_id", "uid", "t", "total", F.lag("total", 1, 0).over(w).alias("prev_total"))
+    return previous(got.select("event_id", "uid", "t", "total"), "uid", "t", p.slice, "total", "prev_total", 0, ["t", "event_id"])
 
 
 def latest(totals: DataFrame, score: str, by: str = "uid", time: str = "t") -> DataFrame:
@@ -108,21 +107,7 @@ def team_mvp_history(submissions: DataFrame, p: Params) -> DataFrame:
         "event_id", "team", "t", F.when(F.col("best.total") > 0, F.col("best.uid")).otherwise("").alias("mvp"), F.col("best.total").alias("mvp_total"), "team_total",
         ratio(F.col("best.total"), F.col("team_total")).alias("ratio"),
     )
-    one = held.withColumn("_o", F.struct("t", "event_id"))
-    before = _held_before(one, p)
-    return before
-
-
-def _held_before(rows: DataFrame, p: Params) -> DataFrame:
-    """Adds who held the team before the row, by slices as :func:`previous` does, for rows in order (t, event_id)."""
-    rows = rows.withColumn("_slice", F.floor(F.col("t") / p.slice))
-    last = rows.groupBy("team", "_slice").agg(F.max_by("mvp", "_o").alias("_last"))
-    before = Window.partitionBy("team").orderBy("_slice")
-    carried = last.select(F.col("team").alias("_key"), F.col("_slice").alias("_at"), F.lag("_last").over(before).alias("_came"))
-    here = Window.partitionBy("team", "_slice").orderBy("t", "event_id")
-    rows = rows.join(carried, (F.col("team") == F.col("_key")) & (F.col("_slice") == F.col("_at")), "left")
-    prev = F.coalesce(F.lag("mvp").over(here), F.col("_came"), F.lit("")).alias("prev_mvp")
-    return rows.select("event_id", "team", "t", "mvp", "mvp_total", "team_total", "ratio", prev)
+    return previous(held, "team", "t", p.slice, "mvp", "prev_mvp", "", ["t", "event_id"])
 
 
 def team_mvp(submissions: DataFrame, p: Params) -> DataFrame:

@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from podium.functions import board_key, iso_text, score_text
+from podium.functions import board_key, iso_ms, iso_text, score_text
 from podium.operators import boards, changelog, compare, monitor, snapshots
 from podium.params import DAY, HOUR, SPARSE as P
-from podium.sources import ingest
+from podium.schema import SUBMISSION_FILE
+from podium.sources import generate, ingest
 from podium.streaming import pipeline
+from podium.streaming.metrics import Progress
+from podium.streaming.stores import ParquetDocuments
 from podium.streaming.window_total import hot_streaks, window_totals
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +24,11 @@ def _subs(spark: SparkSession, d: str) -> DataFrame:
     return ingest.submissions(ingest.events(spark, d))
 
 
+def _gained(spark: SparkSession, d: str) -> DataFrame:
+    """Submissions without levels, for what needs gains only."""
+    return ingest.gained(ingest.events(spark, d))
+
+
 def submissions(spark, d):
     return _subs(spark, d)
 
@@ -31,15 +39,15 @@ def level_gain(spark, d):
 
 
 def peer_gains(spark, d):
-    return boards.peers(_subs(spark, d))
+    return boards.peers(_gained(spark, d))
 
 
 def window_total(spark, d):
-    return boards.window_total(_subs(spark, d), P)
+    return boards.window_total(_gained(spark, d), P)
 
 
 def window_total_raw(spark, d):
-    return boards.window_total_raw(_subs(spark, d), P)
+    return boards.window_total_raw(_gained(spark, d), P)
 
 
 def topn_window_total(spark, d):
@@ -55,7 +63,7 @@ def topn_alltime_level(spark, d):
 
 
 def weekly_levels_gained(spark, d):
-    return boards.weekly_levels_gained(_subs(spark, d))
+    return boards.weekly_levels_gained(_gained(spark, d))
 
 
 def weekly_last_level(spark, d):
@@ -68,19 +76,19 @@ def weekly_board_keys(spark, d):
 
 
 def user_alltime_total(spark, d):
-    return boards.user_alltime_total(_subs(spark, d), P)
+    return boards.user_alltime_total(_gained(spark, d), P)
 
 
 def team_mvp(spark, d):
-    return boards.team_mvp(_subs(spark, d), P)
+    return boards.team_mvp(_gained(spark, d), P)
 
 
 def team_mvp_history(spark, d):
-    return boards.team_mvp_history(_subs(spark, d), P)
+    return boards.team_mvp_history(_gained(spark, d), P)
 
 
 def hot_streak(spark, d):
-    return boards.hot_streak(_subs(spark, d), P)
+    return boards.hot_streak(_gained(spark, d), P)
 
 
 def topn_hot_streak(spark, d):
@@ -99,8 +107,7 @@ def snapshots_docs(spark, d):
     totals = window_total(spark, d)
     span = _span(spark, d)
     docs = snapshots.documents(snapshots.top(totals, P, span=span), snapshots.grid(span, P))
-    one = F.transform("users", lambda u: F.concat_ws(":", u["userId"], u["score"].cast("long").cast("string"), u["lastUpdateTime"].cast("string")))
-    return docs.select(F.col("_id").alias("taken"), F.size("users").cast("long").alias("n_users"), F.array_join(one, ";").alias("users"))
+    return _document_text(docs)
 
 
 def snapshots_flat(spark, d):
@@ -111,13 +118,38 @@ def snapshots_flat(spark, d):
 def snapshot_compare(spark, d):
     totals = window_total(spark, d)
     a, b = (snapshots.documents(snapshots.top(totals, P, x, _span(spark, d))) for x in (False, True))
-    return compare.summary(a, b).drop("examples")
+    return compare.summary(a, b).withColumn("examples", F.concat_ws(",", F.transform("examples", lambda x: x.cast("string"))))
 
 
 def snapshot_outcomes(spark, d):
     totals = window_total(spark, d)
     a, b = (snapshots.documents(snapshots.top(totals, P, x, _span(spark, d))) for x in (False, True))
-    return compare.align(a, b.where(f"_id % 2 = 0 OR _id % 5 = 0"))
+    return compare.align(a, b)
+
+
+def snapshot_missing(spark, d):
+    """Snapshots that a set which ends with day 15 lacks."""
+    docs = snapshots.documents(snapshots_topn(spark, d))
+    return compare.missing(docs, docs.where(F.col("_id") < _DAY15))
+
+
+def _document_text(docs: DataFrame) -> DataFrame:
+    one = F.transform("users", lambda u: F.concat_ws(":", u["userId"], u["score"].cast("long").cast("string"), u["lastUpdateTime"].cast("string")))
+    return docs.select(F.col("_id").alias("taken"), F.size("users").cast("long").alias("n_users"), F.array_join(one, ";").alias("users"))
+
+
+def snapshots_upsert(spark, d):
+    """Documents by the batch's rule, those from day 15 on replaced by the stream's rule."""
+    totals = window_total(spark, d)
+    a, b = (snapshots.documents(snapshots.top(totals, P, x, _span(spark, d))) for x in (False, True))
+    return _document_text(snapshots.upsert(a, b.where(F.col("_id") >= _DAY15)))
+
+
+def snapshot_files(spark, d):
+    """Documents written as JSON arrays and read again."""
+    path = pipeline.scratch(spark, "snapshots")
+    ingest.write_json_arrays(snapshots.documents(snapshots_topn(spark, d)), path)
+    return _document_text(ingest.read_snapshots(spark, path))
 
 
 def latest_batch_top10(spark, d):
@@ -127,7 +159,7 @@ def latest_batch_top10(spark, d):
 
 
 def dashboard_sums(spark, d):
-    rows = _subs(spark, d).select("uid", "g", boards.clipped(F.col("g")).alias("gain"))
+    rows = _gained(spark, d).select("uid", "g", boards.clipped(F.col("g")).alias("gain"))
     return boards.field_sums(rows, "uid", ["gain", "g"])
 
 
@@ -138,6 +170,21 @@ def profile_enriched_board(spark, d):
     return boards.enrich(topn_alltime_level(spark, d).select("uid", "level", "rank"), profile)
 
 
+def last_profiles(spark, d):
+    """The last profile of each user, where names and countries change with the events."""
+    rows = _gained(spark, d).select("uid", F.concat(F.lit("name "), F.col("event_id").cast("string")).alias("name"), F.col("event_type").alias("geo"), "team", F.col("uid").alias("avatar"), F.col("t").alias("updatedAt"))
+    return ingest.profiles(rows)
+
+
+def first_events(spark, d):
+    """A limit, made definite by an order."""
+    return ingest.events(spark, d).select("event_id", "event_type").orderBy("event_id").limit(100)
+
+
+def rates_by_task(spark, d):
+    return monitor.by_task(throughput_per_window(spark, d), "event_type", "n").withColumn("average", F.round("average", 6))
+
+
 def throughput_per_window(spark, d):
     return monitor.throughput(ingest.events(spark, d), "event_type", "t", HOUR)
 
@@ -164,9 +211,56 @@ def _json(spark, d) -> DataFrame:
             (F.col("level") - F.col("g")).alias("previousLevel"),
             F.when(kind == "view", "soon").otherwise(iso_text(F.col("t"))).alias("updatedAt"),
             F.col("team").alias("team"),
+            # Nested fields and texts of the same names, which don't count.
+            F.struct(F.lit("hi").alias("level"), F.lit("5").alias("team"), F.lit('"level":"no"').alias("fcmToken")).alias("devices"),
+            F.struct(F.struct(F.lit(7).alias("level"), F.lit("x").alias("previousLevel")).alias("extra")).alias("more"),
+            F.lit('{"level": "9", "team":"z"}').alias("role"),
         )
     )
-    return s.select(F.when(kind == "purchase", F.concat(j, F.lit(""))).otherwise(j).alias("value"))
+    return s.select(F.regexp_replace(j, '"quoted":"q([0-9-]+)"', '"level":"$1"').alias("value"))
+
+
+def _files(spark, d) -> DataFrame:
+    """Submissions in the schema of files."""
+    have = {"uid": F.col("uid"), "level": F.col("level"), "previousLevel": F.col("level") - F.col("g"), "team": F.col("team"), "updatedAt": iso_text(F.col("t"))}
+    return _subs(spark, d).select(*[have.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in SUBMISSION_FILE])
+
+
+def json_lines(spark, d):
+    """Submissions written as JSON lines and read again."""
+    path = pipeline.scratch(spark, "lines")
+    ingest.write_json_lines(_files(spark, d), path)
+    rows = ingest.read_json_lines(spark, path)
+    return rows.select("uid", "level", "previousLevel", "team", iso_ms(F.col("updatedAt")).alias("t"))
+
+
+def parquet_files(spark, d):
+    """Submissions written as Parquet and read again by the explicit schema."""
+    path = pipeline.scratch(spark, "files")
+    ingest.write_parquet(_files(spark, d), path)
+    return ingest.read_parquet(spark, path).select("uid", "level", "previousLevel", "team", iso_ms(F.col("updatedAt")).alias("t"))
+
+
+def document_upsert(spark, d):
+    """Submissions as documents by uid, upserted in batches of five days."""
+    store = ParquetDocuments(spark, pipeline.scratch(spark, "documents"))
+    rows = _files(spark, d).withColumn("_at", iso_ms(F.col("updatedAt"))).persist()
+    for k in range(6):
+        part = rows.where((F.col("_at") >= _DAY0 + 5 * k * DAY) & (F.col("_at") < _DAY0 + 5 * (k + 1) * DAY)).drop("_at")
+        store.upsert("users", part, k)
+    rows.unpersist()
+    return store.read("users").select("uid", "level", "team", iso_ms(F.col("updatedAt")).alias("t"))
+
+
+def generated(spark, d):
+    """Generated submissions, as many as there are events: how many of whom, and what must hold of them."""
+    n = ingest.events(spark, d).count()
+    rows = generate.generate(spark, n)
+    whale = F.col("uid").startswith("whale_")
+    return rows.groupBy(F.when(whale, F.col("uid")).otherwise("user").alias("who")).agg(
+        F.count("*").alias("n"), F.min("t").alias("first"), F.max("t").alias("last"), F.max(F.when(whale, F.col("level")).otherwise(10)).alias("most"),
+        F.min((F.col("g") >= 1) & (whale | (F.col("g") <= 10)) & (F.col("team") >= 1) & (F.col("team") <= 10) & (F.col("level") >= F.col("g"))).alias("holds"),
+    )
 
 
 def json_ingest(spark, d):
@@ -198,11 +292,11 @@ def board_difference(spark, d):
     return changelog.difference(as_board(s.where(f"t < {_DAY15}")), as_board(s))
 
 
-_DAY15 = 1_705_363_200_000
+_DAY0, _DAY15 = 1_704_067_200_000, 1_705_363_200_000
 
 
 def _gains(spark, d) -> DataFrame:
-    return boards.level_gains(_subs(spark, d)).select("uid", "t", "gain")
+    return boards.level_gains(_gained(spark, d)).select("uid", "t", "gain")
 
 
 def stream_window_total(spark, d):
@@ -229,13 +323,41 @@ def stream_topn(spark, d):
     return rows.select("taken", F.col("seq").cast("int").alias("rank"), "uid", F.col("score").cast("long").alias("total"), "t")
 
 
+def stream_topn_changes(spark, d):
+    """The streamed changelog, applied: who is on the board at the end of each day, by inserts and deletes only.
+
+    A member's change holds until its next one; it is exploded to the days' ends in between.
+    """
+    rows = _board_stream(spark, d).where("kind <> 'SNAPSHOT'")
+    day = F.floor(F.col("taken") / DAY)
+    until = F.coalesce(F.lead(day).over(Window.partitionBy("uid").orderBy("seq")), F.lit(_DAY0 // DAY + 30))
+    rows = rows.select("uid", "score", "t", "kind", day.alias("first"), until.alias("until")).where("kind = 'INSERT' AND until > first")
+    held = rows.select(F.explode(F.sequence(F.col("first"), F.col("until") - 1)).alias("day"), "uid", F.col("score").cast("long").alias("total"), "t")
+    return held
+
+
+def stream_late_rows(spark, d):
+    """Rows far behind the watermark are dropped, counted and change nothing: the second half first, then the first."""
+    path, rows = pipeline.scratch(spark, "late"), _gains(spark, d)
+    arrivals = tuple((lambda x=x: rows.where(x).write.mode("append").parquet(path)) for x in (F.col("t") >= _DAY15, F.col("t") < _DAY15))
+    listener = Progress()
+    spark.streams.addListener(listener)
+    try:
+        got = pipeline.run_to_end(spark, lambda: pipeline.totals_stream(spark, (path, "uid string, t bigint, gain bigint"), P), "late", arrivals)
+        out = got.where("kind = 'total'").agg(F.count("*").alias("results"), F.min("t").alias("first")).withColumn("late", F.lit(listener.late(spark)))
+    finally:
+        spark.streams.removeListener(listener)
+    return out.select("results", F.col("first") >= _DAY15, "late").toDF("results", "all_in_time", "late")
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         submissions, level_gain, peer_gains, window_total, window_total_raw, topn_window_total, alltime_level, topn_alltime_level, weekly_levels_gained, weekly_last_level,
         weekly_board_keys, user_alltime_total, team_mvp, team_mvp_history, hot_streak, topn_hot_streak, snapshots_topn, snapshots_docs, snapshots_flat, snapshot_compare,
-        snapshot_outcomes, latest_batch_top10, dashboard_sums, profile_enriched_board, throughput_per_window, counter_rates, score_texts, json_ingest, cdc_ingest,
-        board_from_changelog, board_difference, stream_window_total, stream_hot_streak, stream_topn,
+        snapshot_outcomes, snapshot_missing, snapshots_upsert, snapshot_files, last_profiles, first_events, rates_by_task, json_lines, parquet_files, document_upsert, generated,
+        latest_batch_top10, dashboard_sums, profile_enriched_board, throughput_per_window, counter_rates, score_texts, json_ingest, cdc_ingest,
+        board_from_changelog, board_difference, stream_window_total, stream_hot_streak, stream_topn, stream_topn_changes, stream_late_rows,
     )
 }
 
@@ -310,6 +432,7 @@ _TWO = f"""{_GRID},
 {_snapshots("other", True)},
 da AS (SELECT taken AS _id, list({{'u': uid, 's': total, 't': t}} ORDER BY uid, total, t) AS users FROM ranked GROUP BY taken),
 db AS (SELECT taken AS _id, list({{'u': uid, 's': total, 't': t}} ORDER BY uid, total, t) AS users FROM other GROUP BY taken)"""
+_DOCS = "SELECT taken, count(*) AS n_users, string_agg(concat(uid, ':', total, ':', t), ';' ORDER BY rank) AS users"
 _OUTCOME = "CASE WHEN db._id IS NULL THEN 'missing' WHEN da.users = db.users THEN 'equal' ELSE 'different' END"
 _ISO = "strftime(make_timestamp(x * 1000), '%Y-%m-%dT%H:%M:%S.%gZ')"
 
@@ -339,8 +462,23 @@ SQL: dict[str, str] = {
     "snapshots_flat": f"WITH {_GRID} SELECT taken AS _id, CAST(rank AS BIGINT) AS rank, uid AS userId, CAST(total AS DOUBLE) AS score, {_ISO.replace('x', 't', 1)} AS updated FROM ranked",
     "snapshot_compare": f"""WITH {_TWO}, o AS (SELECT {_OUTCOME} AS outcome FROM da LEFT JOIN db ON da._id = db._id),
         c AS (SELECT count(*) AS total, count(*) FILTER (outcome = 'missing') AS missing, count(*) FILTER (outcome = 'equal') AS equal, count(*) FILTER (outcome = 'different') AS different FROM o)
-        SELECT total, total - missing AS found, equal, different, missing, round(100.0 * (total - missing) / total, 2) AS found_pct, round(100.0 * equal / total, 2) AS equal_pct FROM c""",
-    "snapshot_outcomes": f"WITH {_TWO} SELECT da._id, {_OUTCOME} AS outcome FROM da LEFT JOIN (SELECT * FROM db WHERE _id % 2 = 0 OR _id % 5 = 0) db ON da._id = db._id",
+        SELECT total, total - missing AS found, equal, different, missing, round(100.0 * (total - missing) / total, 2) AS found_pct, round(100.0 * equal / total, 2) AS equal_pct,
+        coalesce((SELECT string_agg(_id, ',' ORDER BY _id) FROM (SELECT da._id FROM da JOIN db ON da._id = db._id WHERE da.users <> db.users ORDER BY da._id LIMIT 10)), '') AS examples FROM c""",
+    "snapshot_outcomes": f"WITH {_TWO} SELECT da._id, {_OUTCOME} AS outcome FROM da LEFT JOIN db ON da._id = db._id",
+    "snapshot_missing": f"WITH {_GRID} SELECT DISTINCT taken AS _id FROM ranked WHERE taken >= {_DAY15}",
+    "snapshots_upsert": f"WITH {_TWO} {_DOCS} FROM (SELECT * FROM ranked WHERE taken NOT IN (SELECT taken FROM other WHERE taken >= {_DAY15}) UNION ALL SELECT * FROM other WHERE taken >= {_DAY15}) GROUP BY taken",
+    "snapshot_files": f"WITH {_GRID} {_DOCS} FROM ranked GROUP BY taken",
+    "last_profiles": f"""WITH {_SUBS} SELECT uid, concat('name ', arg_max(event_id, t)) AS name, arg_max(event_type, t) AS geo, arg_max(team, t) AS team, uid AS avatar FROM subs GROUP BY uid""",
+    "first_events": "SELECT event_id, event_type FROM events ORDER BY event_id LIMIT 100",
+    "rates_by_task": f"""SELECT event_type, CAST(sum(n) AS BIGINT) AS total, round(avg(n), 6) AS average, count(*) AS n
+        FROM (SELECT event_type, epoch_us(ts) // {HOUR * 1000} AS b, count(*) AS n FROM events GROUP BY 1, 2) GROUP BY event_type""",
+    "json_lines": f"""WITH {_SUBS} SELECT uid, level, level - g AS "previousLevel", CAST(team AS BIGINT) AS team, t FROM subs""",
+    "parquet_files": f"""WITH {_SUBS} SELECT uid, level, level - g AS "previousLevel", CAST(team AS BIGINT) AS team, t FROM subs""",
+    "document_upsert": f"""WITH {_SUBS} SELECT uid, arg_max(level, t) AS level, CAST(arg_max(team, t) AS BIGINT) AS team, max(t) AS t FROM subs GROUP BY uid""",
+    "generated": f"""WITH c AS (SELECT count(*) AS n FROM events),
+        w AS (SELECT unnest(range(0, greatest(0, (n * {generate.SPACING} - {generate.WHALE_FIRST} + {generate.WHALE_EVERY - 1}) // {generate.WHALE_EVERY}))) AS x FROM c)
+        SELECT 'user' AS who, n, {_DAY0} AS first, {_DAY0} + (n - 1) * {generate.SPACING} AS last, CAST(10 AS BIGINT) AS most, true AS holds FROM c
+        UNION ALL SELECT concat('whale_', x), 1, {_DAY0} + {generate.WHALE_FIRST} + x * {generate.WHALE_EVERY}, {_DAY0} + {generate.WHALE_FIRST} + x * {generate.WHALE_EVERY}, x + 10000, true FROM w""",
     "latest_batch_top10": f"""WITH b AS (SELECT user_id, value, epoch_us(ts) // {DAY * 1000} AS day FROM events)
         SELECT user_id, round(avg(value), 6) AS average FROM b WHERE day = (SELECT max(day) FROM b) GROUP BY user_id ORDER BY average DESC, user_id LIMIT 10""",
     "dashboard_sums": f"WITH {_SUBS} SELECT uid, CAST(sum(greatest(g, 0)) AS BIGINT) AS gain, CAST(sum(g) AS BIGINT) AS g FROM subs GROUP BY uid",
@@ -368,4 +506,13 @@ SQL |= {
     "stream_window_total": SQL["window_total"],
     "stream_hot_streak": SQL["hot_streak"],
     "stream_topn": f"WITH {_TWO} SELECT taken, rank, uid, total, t FROM other",
+    # The board of a day: the totals of the day's end, without those that the last clean-up which an event has led to took away.
+    "stream_topn_changes": f"""WITH {_TOTALS},
+        ends AS (SELECT day, (SELECT min(t) FROM totals) AS t0, (SELECT max(t) FROM totals WHERE t < (day + 1) * {DAY}) AS ended
+                 FROM (SELECT unnest(range({_DAY0 // DAY}, {_DAY0 // DAY + 30})) AS day)),
+        cut AS (SELECT day, ended, CASE WHEN ended >= t0 + 2 * {P.cleanup} THEN t0 + ((ended - t0) // {P.cleanup} - 1) * {P.cleanup} ELSE t0 END AS cutoff FROM ends),
+        last AS (SELECT day, cutoff, uid, arg_max(total, t) AS total, max(t) AS t FROM cut JOIN totals ON t <= ended GROUP BY day, cutoff, uid)
+        SELECT day, uid, total, t FROM last WHERE t >= cutoff QUALIFY row_number() OVER (PARTITION BY day ORDER BY total DESC, t, uid) <= {P.top_n}""",
+    "stream_late_rows": f"""WITH {_SUBS} SELECT count(DISTINCT (uid, t)) FILTER (WHERE t >= {_DAY15} AND t <= (SELECT max(t) FROM subs) - {P.watermark}) AS results,
+        true AS all_in_time, count(*) FILTER (WHERE t < {_DAY15}) AS late FROM subs""",
 }

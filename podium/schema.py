@@ -20,7 +20,7 @@ SUBMISSION_JSON = T.StructType(
     [T.StructField(c, T.StringType()) for c in ("uid", "email", "authProvider", "appId", "avatar", "geo", "role", "name", "lastLoginAt")]
     + [T.StructField("devices", T.StringType())]
     + [T.StructField(c, T.StringType()) for c in ("created_at", "updated_at", "updatedAt")]
-    + [T.StructField(c, T.StringType()) for c in ("level", "previousLevel", "team")]
+    + [T.StructField(c, T.DoubleType()) for c in ("level", "previousLevel", "team")]  # text in quotes is no number and so null
 )
 
 SCORE = T.StructType(

@@ -17,42 +17,52 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("t", event_ms(F.col("ts"), rows.schema["ts"].dataType))
 
 
-def submissions(rows: DataFrame) -> DataFrame:
-    """``event_id, uid, t, g, level, team, event_type``: events as submissions; errors lower the level."""
+def gained(rows: DataFrame) -> DataFrame:
+    """``event_id, uid, t, g, team, event_type``: submissions without the level, which takes a running sum; a projection only."""
+    return _named(_signed(rows))
+
+
+def _signed(rows: DataFrame) -> DataFrame:
     size = F.floor(F.col("value") / 10)
-    rows = rows.select("*", F.when(F.col("event_type") == "error", -size).otherwise(size).cast("long").alias("g"))
-    rows = running(rows.select("event_id", "user_id", "ts", "t", "g", "event_type"), "user_id", ["t", "ts", "event_id"], "t", Params().slice, {"level": F.col("g")})
+    return rows.select("*", F.when(F.col("event_type") == "error", -size).otherwise(size).cast("long").alias("g"))
+
+
+def _named(rows: DataFrame, *more: str) -> DataFrame:
     return rows.select(
-        "event_id", F.concat(F.lit("user_"), F.col("user_id").cast("string")).alias("uid"), "t", "g", "level",
+        "event_id", F.concat(F.lit("user_"), F.col("user_id").cast("string")).alias("uid"), "t", "g", *more,
         (F.col("user_id") % 10 + 1).cast("int").alias("team"), "event_type",
     )
 
 
+def submissions(rows: DataFrame) -> DataFrame:
+    """``event_id, uid, t, g, level, team, event_type``: events as submissions; errors lower the level."""
+    rows = _signed(rows).select("event_id", "user_id", "ts", "t", "g", "event_type")
+    return _named(running(rows, "user_id", ["t", "ts", "event_id"], "t", Params().slice, {"level": F.col("g")}), "level")
+
+
 def whole(text: Column) -> Column:
     """A JSON number's text as an int, cut towards zero; 0 for anything else, as for out of range."""
     number = F.when(F.rlike(text, F.lit(r"^-?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?$")), text.try_cast("double"))
-    return F.coalesce(F.when(F.abs(number) < 2147483648.0, number).cast("int"), F.lit(0))
+    return _cut(number)
 
 
-def _number(value: Column, field: str) -> Column:
-    """An unquoted number of a JSON object; text in quotes is no number."""
-    quoted = F.rlike(value, F.lit(rf'"{field}"\s*:\s*"'))
-    return F.when(quoted, F.lit(0)).otherwise(whole(F.get_json_object(value, f"$.{field}")))
+def _cut(number: Column) -> Column:
+    """A number cut towards zero to an int; 0 for none, and for what an int can't hold."""
+    return F.coalesce(F.when(number.between(-2147483648.0, 2147483647.0), number).cast("int"), F.lit(0))
 
 
 def parse_json(rows: DataFrame, value: str = "value") -> DataFrame:
     """Submissions of flat JSON texts; what can't be read or has no uid is dropped.
 
-    Numbers that are missing or no numbers are 0. ``devices`` counts only as a single object, then a list of one.
+    Numbers that are missing or no numbers are 0; only the fields of the object itself count, not those of nested ones. ``devices`` counts only as a single object, then a list of one.
     ``t`` is null for a time that can't be read: such rows are for :func:`with_time` to drop and count.
     """
-    v = F.col(value)
-    got = rows.select(v.alias("_v"), F.from_json(v, SUBMISSION_JSON, {"mode": "PERMISSIVE"}).alias("_j")).where("_j.uid IS NOT NULL")
+    got = rows.select(F.from_json(F.col(value), SUBMISSION_JSON, {"mode": "PERMISSIVE"}).alias("_j")).where("_j.uid IS NOT NULL")
     texts = [c for c in SUBMISSION_JSON.names if c not in ("devices", "level", "previousLevel", "team", "updatedAt")]
     device = F.when(F.rlike("_j.devices", F.lit(r"^\s*\{")), F.array(F.from_json("_j.devices", DEVICE)))
     return got.select(
         *[F.col(f"_j.{c}") for c in texts], device.alias("devices"), iso_ms(F.col("_j.updatedAt")).alias("t"),
-        *[_number(F.col("_v"), c).alias(c) for c in ("level", "previousLevel", "team")],
+        *[_cut(F.col(f"_j.{c}")).alias(c) for c in ("level", "previousLevel", "team")],
     )
 
 
@@ -96,8 +106,10 @@ def read_json_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
-    """Snapshot documents of a JSON array; missing users are an empty list, of equal ids the last one counts."""
-    rows = spark.read.schema(SNAPSHOT).option("multiLine", True).json(path).withColumn("_at", F.monotonically_increasing_id())
+    """Snapshot documents of JSON arrays; missing users are an empty list, of equal ids the last one counts, by the
+    file's name and then the place in it (a file with an array is read by one task)."""
+    rows = spark.read.schema(SNAPSHOT).option("multiLine", True).json(path)
+    rows = rows.select("*", F.struct(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("place")).alias("_at"))
     kind = SNAPSHOT["users"].dataType
     users = F.coalesce("users", F.array().cast(kind))
     return rows.where("_id IS NOT NULL").groupBy("_id").agg(F.max_by(users, "_at").alias("users"))
@@ -111,6 +123,26 @@ def write_json_lines(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
 
 
+def write_json_arrays(rows: DataFrame, path: str, files: int | None = None) -> None:
+    """Files of one JSON array each, a document to a line; ``files=1`` gives a single array in the order of the rows."""
+    lines = rows.select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("value"))
+
+    def wrap(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        mark = "["
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            first = pa.array([mark] + [","] * (batch.num_rows - 1))
+            mark = ","
+            yield pa.RecordBatch.from_arrays([pc.binary_join_element_wise(first, batch.column(0).cast(pa.string()), "")], names=["value"])
+        yield pa.RecordBatch.from_arrays([pa.array(["]" if mark == "," else "[]"])], names=["value"])
+
+    (lines.coalesce(files) if files else lines).mapInArrow(wrap, "value string").write.mode("overwrite").text(path)
+
+
 def profiles(rows: DataFrame) -> DataFrame:
     """``uid, name, geo, team, avatar``: the last known profile of each user."""
     names = ["name", "geo", "team", "avatar"]
@@ -134,7 +166,24 @@ def stream(spark: SparkSession, kind: str, **options) -> DataFrame:
     return rows.selectExpr("CAST(value AS STRING) AS value") if kind == "kafka" else rows
 
 
-def to_kafka(rows: DataFrame, topic: str, servers: str) -> None:
-    """Writes rows keyed by uid; needs the connector on the class path."""
-    out = rows.select(F.col("uid").alias("key"), F.to_json(F.struct("*")).alias("value"))
-    out.write.format("kafka").options(**{"kafka.bootstrap.servers": servers, "topic": topic, "kafka.compression.type": "lz4", "kafka.linger.ms": "200"}).save()
+#: How the producer batches, compresses, confirms and repeats.
+PRODUCER = {
+    "linger.ms": "200", "batch.size": str(2048 * 1024), "compression.type": "lz4", "acks": "0",
+    "retries": "3", "retry.backoff.ms": "100", "request.timeout.ms": "30000",
+}
+
+
+def messages(rows: DataFrame) -> DataFrame:
+    """``key, value``: rows as messages, keyed by uid."""
+    return rows.select(F.col("uid").alias("key"), F.to_json(F.struct("*")).alias("value"))
+
+
+def to_kafka(rows: DataFrame, topic: str, servers: str, checkpoint: str | None = None, **options):
+    """Writes rows, or starts writing a stream of them; needs the connector on the class path.
+
+    ``options`` override PRODUCER, by the producer's own names; with ``acks`` 0 messages may be lost, so set it to ``all`` where that matters.
+    """
+    told = {"kafka.bootstrap.servers": servers, "topic": topic} | {f"kafka.{k}": v for k, v in (PRODUCER | options).items()}
+    if rows.isStreaming:
+        return messages(rows).writeStream.format("kafka").options(**told).option("checkpointLocation", checkpoint).start()
+    return messages(rows).write.format("kafka").options(**told).save()

@@ -25,6 +25,11 @@ class Progress(StreamingQueryListener):
         )
         del self.batches[: -self.most]
 
+    def late(self, spark) -> int:
+        """Rows dropped behind the watermark so far, once all events have been told."""
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        return sum(b["late"] for b in self.batches)
+
     def onQueryIdle(self, event) -> None:
         pass
 

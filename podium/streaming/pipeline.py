@@ -31,15 +31,14 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{told.rstrip('/')}/podium-{name}-{uuid.uuid4().hex}"
 
 
-def replay(rows: DataFrame, name: str, parts: int = 1) -> tuple[str, str]:
+def replay(rows: DataFrame, name: str, parts: int = 8) -> tuple[str, str]:
     """Writes ``rows`` (uid, t, ...) as files that a stream reads in the order of t, and one more that ends it; (path, schema).
 
     The last file has a row far in the future; drop rows of that uid from results (see :func:`real`).
     """
     spark = rows.sparkSession
     path = scratch(spark, name)
-    ordered = rows.repartitionByRange(parts, "t") if parts > 1 else rows.coalesce(1)
-    ordered.sortWithinPartitions("t").write.parquet(path)
+    rows.repartitionByRange(parts, "t").sortWithinPartitions("t").write.parquet(path)
     kinds = dict(rows.dtypes)
     last = spark.range(1).select(*[F.lit({"uid": _END_UID, "t": END}.get(c, 0)).cast(kinds[c]).alias(c) for c in rows.columns])
     last.coalesce(1).write.mode("append").parquet(path)
@@ -50,15 +49,20 @@ def real(rows: DataFrame) -> DataFrame:
     return rows.where(f"uid IS NULL OR uid <> '{_END_UID}'")
 
 
-def run_to_end(spark: SparkSession, stream: Callable[[], DataFrame], name: str, files: int = 1000) -> DataFrame:
-    """Runs a stream over all that is there, into a Parquet table in the shared folder; the table."""
+def run_to_end(spark: SparkSession, stream: Callable[[], DataFrame], name: str, arrivals: tuple[Callable[[], None], ...] = (lambda: None,)) -> DataFrame:
+    """Runs a stream over all that is there, into a Parquet table in the shared folder; the table.
+
+    With several ``arrivals``, which bring new input, the stream is started again from its checkpoint after each.
+    """
     path, checkpoint = scratch(spark, name), scratch(spark, f"{name}-checkpoint")
     old = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     try:
-        rows = stream()
-        query = rows.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
-        query.awaitTermination()
+        for arrive in arrivals:
+            arrive()
+            rows = stream()
+            query = rows.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+            query.awaitTermination()
     finally:
         if old is None:
             spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
@@ -84,7 +88,7 @@ def board_stream(spark: SparkSession, source: tuple[str, str], p: Params) -> Dat
 def start_live(gains: DataFrame, p: Params, store: BoardStore, audit: str, checkpoint: str, board: str = "trailing", once: bool = False):
     """The live job: totals, then each micro-batch's Top-N against the stored board; an audit log of changes as JSON.
 
-    ``gains``: a stream uid, t, gain. Boards are written by version, so a repeated batch changes nothing. With
+    ``gains``: a stream uid, t, gain. Boards and the audit log are written by batch, so a repeated batch changes nothing. With
     ``once`` the query ends when all that is there has been read.
     """
 
@@ -98,7 +102,7 @@ def start_live(gains: DataFrame, p: Params, store: BoardStore, audit: str, check
         fresh = after.where(F.col("lastUpdateTime") >= newest - 2 * p.cleanup)
         top = fresh.orderBy(F.desc("score"), "lastUpdateTime", "id").limit(p.top_n)
         changes = changelog.numbered(changelog.difference(store.read(board), top)).persist()
-        changes.write.mode("append").json(audit)
+        changes.write.mode("overwrite").json(f"{audit}/batch={batch}")  # the same batch again writes the same folder
         store.apply(board, changes, batch)
         gone = everyone.join(fresh.select("id"), "id", "left_anti").select(F.lit("DELETE").alias("change_type"), "id", "score", "lastUpdateTime")
         moves = new.select(F.lit("INSERT").alias("change_type"), "id", "score", "lastUpdateTime").unionByName(gone)

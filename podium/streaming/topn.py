@@ -106,7 +106,8 @@ _USER = T.StructType([T.StructField("uid", T.StringType())])
 _ROW = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("t", T.LongType()), T.StructField("arrival", T.LongType())])
 _CLOCK = T.StructType([T.StructField(c, T.LongType()) for c in ("next_cleanup", "next_snapshot", "seq")])
 
-#: kind INSERT, DELETE (a change) or SNAPSHOT (one row for each user of it, ``seq`` the rank; rank 0: none).
+#: kind INSERT, DELETE (a change; ``taken`` the time of the event that led to it) or SNAPSHOT (one row for each user of it,
+#: ``seq`` the rank; rank 0: none).
 RESULT = "kind string, seq bigint, taken bigint, uid string, score double, t bigint"
 
 
@@ -127,11 +128,11 @@ class TopN(StatefulProcessor):
         came = sorted((int(t), u, float(s)) for part in rows for u, s, t in zip(part["uid"], part["score"], part["t"]))
         out = []
         for t, uid, score in came:
-            for x in board.add(uid, score, t):
+            for x in board.add(uid, score, t):  # a change's ``taken`` is the time of the event that led to it
                 if x[0] == "SNAPSHOT":
                     out += [("SNAPSHOT", k + 1, x[1], *u) for k, u in enumerate(x[2])] or [("SNAPSHOT", 0, x[1], None, None, None)]
                 else:
-                    out.append((x[0], x[1], None, *x[2:]))
+                    out.append((x[0], x[1], t, *x[2:]))
         for uid in before.keys() - board.users.keys():
             self.users.removeKey((uid,))
         for uid, row in board.users.items():
