@@ -3,60 +3,39 @@ document with a smaller id.
 
 Documents are written once as blocks of a few megabytes. In a block, neighbouring windows whose
 smallest k-mer mark is the same form an entry; equal windows have equal marks wherever they are, so the mark
-decides where windows meet. First only the marks travel, and each block learns which of its marks occur in
-another document at all. Then the entries of those marks travel, equal ones once for each block. Where they
-meet, their suffixes are sorted by the deep-shallow scheme: multikey sorting by eight bytes at a
-time down to SHALLOW, then blind tries for the groups that still agree. Each block gets back one bit for each
-window: whether a smaller id than its own has it. Bits, marks and entries are compressed; texts stay
-in their blocks. A frequent passage comes once from each block, so no task depends on its frequency.
+decides where windows meet. First only the marks travel, one row for each mark of a block, and each block learns
+which of its marks occur in another block at all. Then the entries of those marks travel, equal ones once for
+each block. Where they meet, their suffixes are sorted by the deep-shallow scheme: multikey sorting by
+eight bytes at a time down to SHALLOW, then blind tries for the groups that still agree. Each block gets back, for the
+entries of which a smaller id has a window, one bit for each window. Texts stay in their blocks, and rows grow in
+proportion to them.
+
+Under a mark with more than HOT entries, as of a phrase that every text has with other words around it, windows travel one
+by one instead, and meet by all of their bytes: an aggregation that starts before the shuffle, so no task depends on how
+frequent a phrase or a passage is.
 """
 
 from __future__ import annotations
 
-import struct
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from hashlib import sha256
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from podium.llm.common import BASE, BASE_INVERSE, BLOB_ROWS, chunks, numbered, powers, ship, staged
+from podium.llm.common import BASE, BASE_INVERSE, BLOB_ROWS, chunks, gather, numbered, powers, ship, staged, tasks_for
 
 WINDOW, KMER, SHALLOW = 50, 16, 16
-#: Bytes of text in a block, and bytes of all texts for each group of marks.
-BLOCK, SHARE = 4 << 20, 6 << 20
+#: Bytes of text in a block; entries under one mark from which windows meet one by one; bytes that meet side by side.
+BLOCK, HOT, TOGETHER = 4 << 20, 1 << 15, 4 << 20
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _MARKS = np.random.default_rng(50).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def _packed(*arrays: np.ndarray) -> bytes:
-    """Arrays of whole numbers or bytes, by byte planes, compressed."""
-    import zstandard
-
-    head = struct.pack("<B", len(arrays)) + b"".join(struct.pack("<BQ", a.dtype.itemsize, len(a)) for a in arrays)
-    body = b"".join(a.view(np.uint8).reshape(-1, a.dtype.itemsize).T.tobytes() for a in arrays)
-    return zstandard.ZstdCompressor(level=3).compress(head + body)
-
-
-def _unpacked(data: bytes) -> list[np.ndarray]:
-    import zstandard
-
-    raw = zstandard.ZstdDecompressor().decompress(data)
-    at, out = 1, []
-    sizes = []
-    for _ in range(raw[0]):
-        sizes.append(struct.unpack_from("<BQ", raw, at))
-        at += 9
-    for width, n in sizes:
-        planes = np.frombuffer(raw, np.uint8, width * n, at).reshape(width, n)
-        out.append(np.ascontiguousarray(planes.T).reshape(-1).view(f"<u{width}"))
-        at += width * n
-    return out
-
-
 def _words(raw: np.ndarray, at: np.ndarray | None = None, order: str = "<") -> np.ndarray:
     """The eight bytes from each place on, as numbers; ``raw`` has eight bytes of padding at least."""
     view = np.ndarray(len(raw) - 7, f"{order}u8", raw.data, 0, (1,))
@@ -148,7 +127,7 @@ def _blocks(documents: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        at = TaskContext.get().partitionId() << 32
+        at = TaskContext.get().partitionId() << 20
         for part in chunks(batches, "text", BLOCK):
             n = pa.compute.sum(pa.compute.binary_length(part.column("text"))).as_py() or 0
             # A slice's buffers may reach beyond it; take() copies what it needs.
@@ -159,14 +138,17 @@ def _blocks(documents: DataFrame) -> DataFrame:
     return staged(documents.mapInArrow(run, "block bigint, bytes bigint, data binary"), "blocks", **BLOB_ROWS)
 
 
-def _sent(e: Entries) -> tuple[np.ndarray, np.ndarray]:
-    """The block's distinct marks, in order, and whether two documents of the block have them."""
+def _in_several(e: Entries) -> np.ndarray:
+    """Entries whose mark two documents of the block have."""
     order = np.lexsort((e.ids, e.mark))
     mark, ids = e.mark[order], e.ids[order]
-    new = np.flatnonzero(np.append(True, mark[1:] != mark[:-1])) if len(mark) else np.zeros(0, np.int64)
-    if not len(new):
-        return mark, np.zeros(0, bool)
-    return mark[new], np.minimum.reduceat(ids, new) < np.maximum.reduceat(ids, new)
+    if not len(mark):
+        return np.zeros(0, bool)
+    new = np.append(True, mark[1:] != mark[:-1])
+    first = np.flatnonzero(new)
+    out = np.empty(len(mark), bool)
+    out[order] = (np.minimum.reduceat(ids, first) < np.maximum.reduceat(ids, first))[np.cumsum(new) - 1]
+    return out
 
 
 def _ragged(begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -177,111 +159,124 @@ def _ragged(begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Groups:
-    """Equal entries of a block under shared marks."""
+    """Equal slices of a block."""
 
-    use: np.ndarray  # entries under shared marks
-    group: np.ndarray  # of each of these
-    first: np.ndarray  # one entry of each group
+    group: np.ndarray  # of each slice
+    first: np.ndarray  # number of the first slice of each group
     smallest: np.ndarray  # id of each group
-    part: np.ndarray  # where the group is sent
-    order: np.ndarray  # of groups as they are sent: by part, then as they are numbered
 
 
-def _groups(e: Entries, shared: np.ndarray, parts: int) -> Groups:
-    use = np.flatnonzero(shared)
-    start, size = e.start[use], e.count[use] + WINDOW - 1
-    n = len(e.raw)
+def _grouped(raw: np.ndarray, start: np.ndarray, size: np.ndarray, ids: np.ndarray) -> Groups:
+    n = len(raw)
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(np.take(_MARKS, e.raw) * powers(BASE, n)[:n], out=sums[1:])
+    np.cumsum(np.take(_MARKS, raw) * powers(BASE, n)[:n], out=sums[1:])
     key = (sums[start + size] - sums[start]) * powers(BASE_INVERSE, n)[start] + size.astype(np.uint64) * _B
     key ^= key >> np.uint64(31)
-    _, first, group = np.unique(numbered(key, e.raw, start, size), return_index=True, return_inverse=True)
+    _, first, group = np.unique(numbered(key, raw, start, size), return_index=True, return_inverse=True)
     smallest = np.full(len(first), np.iinfo(np.int64).max)
-    np.minimum.at(smallest, group, e.ids[use])
-    first = use[first]
-    part = (e.mark[first] % np.uint64(parts)).astype(np.int64)
-    return Groups(use, group, first, smallest, part, np.lexsort((e.start[first], part)))
+    np.minimum.at(smallest, group, ids)
+    return Groups(group, first, smallest)
 
 
-def _by_part(part: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    """(part, from, to) of an ordered array."""
-    at = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, np.int64)
-    for a, b in zip(at.tolist(), [*at[1:].tolist(), len(part)]):
-        yield int(part[a]), a, b
+def _binary(raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
+    """Slices of ``raw`` as a binary column."""
+    data, to = gather(raw, start, size)
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(to.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
 
 
-_ROW = "part int, block bigint, data binary"
+#: Numbers of entries fit below a block's number.
+_N = 20
 
 
-def _rows(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-    part, block, data = zip(*rows) if rows else ((), (), ())
-    return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(block, pa.int64()), pa.array(data, pa.binary())], names=["part", "block", "data"])
+def _send_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``mark, own``: each mark of a block, with the block's number and the number of different entries under the mark."""
+    for batch in batches:
+        for block, data in zip(batch.column("block").to_pylist(), batch.column("data")):
+            e = entries(_table(data.as_py()))
+            mark, n = np.unique(e.mark, return_counts=True)
+            many = np.flatnonzero(n[np.searchsorted(mark, e.mark)] > 1)
+            if len(many):  # equal entries count once
+                g = _grouped(e.raw, e.start[many], e.count[many] + WINDOW - 1, e.ids[many])
+                again, times = np.unique(e.mark[many[g.first]], return_counts=True)
+                n[np.searchsorted(mark, again)] = times
+            own = (block << _N) + np.minimum(n, (1 << _N) - 1)
+            for a in range(0, len(mark), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(mark[a : a + (1 << 16)].view(np.int64)), pa.array(own[a : a + (1 << 16)])], names=["mark", "own"])
 
 
-def _send_marks(parts: int) -> Callable:
+def _meet_marks(hot_from: int):
+    """``block, mark, hot`` of marks that several blocks have; rows come in the order of marks. Of a mark no more rows are
+    held than make it hot."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block, data in zip(batch.column("block").to_pylist(), batch.column("data")):
-                mark, several = _sent(entries(_table(data.as_py())))
-                part, rest = (mark % np.uint64(parts)).astype(np.int64), mark // np.uint64(parts)
-                order = np.argsort(part, kind="stable")
-                part, rest, several = part[order], rest[order], several[order]
-                rows = [(p, block, _packed(np.diff(rest[a:b], prepend=np.uint64(0)), np.packbits(several[a:b]))) for p, a, b in _by_part(part)]
-                yield _rows(rows)
+        none = np.zeros(0, np.int64)
+        mark, own, known = none, none, None
+        for batch in chain(batches, [None]):
+            out = []
+            if batch is not None:
+                new, more = batch.column("mark").to_numpy(), batch.column("own").to_numpy()
+                if known is not None:  # more rows of the hot mark that the last batch ended with
+                    n = int(np.searchsorted(new, known, side="right"))
+                    out.append((more[:n], new[:n], np.ones(n, bool)))
+                    new, more = new[n:], more[n:]
+                    known = None if len(new) else known
+                mark, own = np.concatenate([mark, new]), np.concatenate([own, more])
+            end = len(mark)
+            if batch is not None and end:
+                end = int(np.searchsorted(mark, mark[-1]))
+                if (own[end:] & ((1 << _N) - 1)).sum() > hot_from and len(own) - end > 1:
+                    known, end = int(mark[-1]), len(mark)
+            m, o = mark[:end], own[:end]
+            if len(m):
+                first = np.flatnonzero(np.append(True, m[1:] != m[:-1]))
+                times = np.diff(np.append(first, len(m)))
+                hot = np.repeat(np.add.reduceat(o & ((1 << _N) - 1), first) > hot_from, times)
+                keep = np.repeat(times, times) > 1
+                out.append((o[keep], m[keep], hot[keep]))
+            mark, own = mark[end:], own[end:]
+            for o, m, hot in out:
+                yield pa.RecordBatch.from_arrays([pa.array(o >> _N), pa.array(m), pa.array(hot)], names=["block", "mark", "hot"])
 
     return run
 
 
-def _meet_marks(group: pa.Table) -> pa.Table:
-    """For each block, one bit for each of its marks: another document has it too."""
-    blocks, rests, flags, owner = group["block"].to_pylist(), [], [], []
-    for i, data in enumerate(group["data"]):
-        delta, bits = _unpacked(data.as_py())
-        rests.append(np.cumsum(delta))
-        flags.append(np.unpackbits(bits, count=len(delta)).astype(bool))
-        owner.append(np.full(len(delta), i))
-    rest, flag = np.concatenate(rests), np.concatenate(flags)
-    order = np.argsort(rest, kind="stable")
-    same = rest[order][1:] == rest[order][:-1]
-    shared = np.zeros(len(rest), bool)
-    shared[order[1:][same]] = True
-    shared[order[:-1][same]] = True
-    new = np.cumsum(np.append(True, ~same)) - 1  # a flag of one block holds for all that have the mark
-    any_flag = np.zeros(new[-1] + 1, bool)
-    np.logical_or.at(any_flag, new, flag[order])
-    shared[order] |= any_flag[new]
-    ends = np.cumsum([len(r) for r in rests])
-    out = [(int(group["part"][0].as_py()), b, np.packbits(shared[z - len(r) : z]).tobytes()) for b, r, z in zip(blocks, rests, ends) if shared[z - len(r) : z].any()]
-    return pa.Table.from_batches([_rows(out)])
-
-
-def _shared(e: Entries, parts: int, bits: dict[int, bytes]) -> np.ndarray:
-    """Entries whose mark came back with its bit set."""
-    mark, _ = _sent(e)
-    part = (mark % np.uint64(parts)).astype(np.int64)
-    order = np.argsort(part, kind="stable")
-    hit = np.zeros(len(mark), bool)
-    for p, a, b in _by_part(part[order]):
-        if p in bits:
-            hit[order[a:b]] = np.unpackbits(np.frombuffer(bits[p], np.uint8), count=b - a).astype(bool)
-    return hit[np.searchsorted(mark, e.mark)]
-
-
-def _send_entries(parts: int) -> Callable:
+_ENTRY = "mark bigint, block bigint, at int, count int, least bigint, data binary"
+
+
+def _send_entries(hot: bool):
+    """Different entries of a block under the marks that it shares, or with ``hot`` different windows under its hot marks.
+
+    ``at`` is the place of the first one in the block, ``least`` the smallest id that has it. Of windows, ``count`` tells
+    whether several ids of the block have it.
+    """
+
+    none = _empty(_ENTRY)
+
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows = []
-        if left.num_rows and right.num_rows:
-            bits = dict(zip(right["part"].to_pylist(), right["data"].to_pylist()))
-            for block, data in zip(left["block"].to_pylist(), left["data"]):
-                e = entries(_table(data.as_py()))
-                g = _groups(e, _shared(e, parts, bits), parts)
-                order = g.order
-                size = e.count[g.first] + WINDOW - 1
-                for p, a, b in _by_part(g.part[order]):
-                    own = order[a:b]
-                    text = e.raw[_ragged(e.start[g.first[own]], size[own])]
-                    rows.append((p, block, _packed(e.count[g.first[own]].astype(np.uint32), g.smallest[own].view(np.uint64), text)))
-        return pa.Table.from_batches([_rows(rows)])
+        out = [none]
+        shared, is_hot = right["mark"].to_numpy().view(np.uint64), right["hot"].to_numpy()
+        for block, data in zip(left["block"].to_pylist(), left["data"]):
+            e = entries(_table(data.as_py()))
+            of_hot = np.isin(e.mark, shared[is_hot])
+            if hot:
+                use = np.flatnonzero(of_hot)
+                start, size = _ragged(e.start[use], e.count[use]), np.full(int(e.count[use].sum()), WINDOW)
+                ids, mark = np.repeat(e.ids[use], e.count[use]), np.repeat(e.mark[use], e.count[use])
+            else:
+                use = np.flatnonzero((np.isin(e.mark, shared) | _in_several(e)) & ~of_hot)
+                start, size, ids, mark = e.start[use], e.count[use] + WINDOW - 1, e.ids[use], e.mark[use]
+            if not len(start):
+                continue
+            g = _grouped(e.raw, start, size, ids)
+            count = size[g.first] - WINDOW + 1
+            if hot:
+                most = np.zeros(len(g.first), np.int64) + np.iinfo(np.int64).min
+                np.maximum.at(most, g.group, ids)
+                count = most > g.smallest
+            n = len(g.first)
+            columns = [mark[g.first].view(np.int64), np.full(n, block), start[g.first].astype(np.int32), count.astype(np.int32), g.smallest]
+            out.append(pa.Table.from_arrays([*map(pa.array, columns), _binary(e.raw, start[g.first], size[g.first])], names=["mark", "block", "at", "count", "least", "data"]))
+        return pa.concat_tables(out)
 
     return run
 
@@ -380,29 +375,50 @@ def sort_windows(raw: np.ndarray, at: np.ndarray, group: np.ndarray) -> tuple[np
     return order, cls
 
 
-def _meet_entries(group: pa.Table) -> pa.Table:
-    """For each block, one bit for each window that it sent: a smaller id than its own has it."""
-    blocks, counts, smallest, texts = group["block"].to_pylist(), [], [], []
-    for data in group["data"]:
-        c, s, t = _unpacked(data.as_py())
-        counts.append(c.astype(np.int64))
-        smallest.append(s.view(np.int64))
-        texts.append(t)
-    count, least, raw = np.concatenate(counts), np.concatenate(smallest), np.concatenate(texts)
-    size = count + WINDOW - 1
-    start = np.cumsum(size) - size
+_TOLD = "block bigint, at int, bits binary"
+
+
+def _meet_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each entry, one bit for each window: a smaller id than the entry's own has it. Entries without any are left out.
+
+    Rows come in the order of marks; whole marks are looked at together, some megabytes at a time.
+    """
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in chain(batches, [None]):
+        if batch is not None and batch.num_rows:
+            held.append(batch)
+            size += batch.column("data").nbytes
+        if not held or (batch is not None and size < TOGETHER):
+            continue
+        t = pa.Table.from_batches(held)
+        mark = t["mark"].to_numpy()
+        end = t.num_rows if batch is None else int(np.searchsorted(mark, mark[-1]))
+        if end:
+            yield from _told(t.slice(0, end))
+            rest = t.slice(end)
+            held = rest.combine_chunks().to_batches()
+            size = sum(b.column("data").nbytes for b in held)
+
+
+def _told(t: pa.Table) -> Iterator[pa.RecordBatch]:
+    count, least = t["count"].to_numpy().astype(np.int64), t["least"].to_numpy()
+    data = t["data"].combine_chunks()
+    data = data.chunk(0) if isinstance(data, pa.ChunkedArray) else data
+    _, offsets, body = data.buffers()
+    offsets = np.frombuffer(offsets, np.int32)[data.offset : data.offset + len(data) + 1].astype(np.int64)
+    raw = np.frombuffer(body, np.uint8)[offsets[0] : offsets[-1]]
+    start = offsets[:-1] - offsets[0]
     flat, of = raw.tobytes(), {}
-    number = [of.setdefault(flat[a:b], len(of)) for a, b in zip(start.tolist(), (start + size).tolist())]
-    number = np.array(number)  # equal entries of all blocks are one
+    number = np.array([of.setdefault(flat[a:b], len(of)) for a, b in zip(start.tolist(), (start + count + WINDOW - 1).tolist())])  # equal entries of all blocks are one
     own = np.full(len(of), np.iinfo(np.int64).max)
     np.minimum.at(own, number, least)
     first = np.zeros(len(of), np.int64)
     first[number[::-1]] = np.arange(len(number))[::-1]
     # Entries that are alone under their mark have no further company.
-    raw = np.concatenate([raw, np.zeros(WINDOW, np.uint8)])
-    mark = window_marks(raw)[start[first]]
-    _, under, times = np.unique(mark, return_inverse=True, return_counts=True)
+    _, under, times = np.unique(t["mark"].to_numpy()[first], return_inverse=True, return_counts=True)
     some = np.flatnonzero(times[under] > 1)
+    raw = np.concatenate([raw, np.zeros(WINDOW, np.uint8)])
     c = count[first[some]]
     at, whose = _ragged(start[first[some]], c), np.repeat(some, c)
     order, cls = sort_windows(raw, at, under[whose])
@@ -413,66 +429,79 @@ def _meet_entries(group: pa.Table) -> pa.Table:
         np.minimum.at(low, cls, own[whose[order]])
         best[(place[whose] + at - start[first[whose]])[order]] = low[cls]
     bit = best[_ragged(place[number], count)] < np.repeat(least, count)
-    ends = np.cumsum([int(c.sum()) for c in counts])
-    out = []
-    for b, c, z in zip(blocks, counts, ends):
-        mine = bit[z - int(c.sum()) : z]
-        if mine.any():
-            out.append((int(group["part"][0].as_py()), b, np.packbits(mine).tobytes()))
-    return pa.Table.from_batches([_rows(out)])
+    before = np.cumsum(count) - count
+    hit = np.flatnonzero(np.logical_or.reduceat(bit, before)) if len(count) else before
+    block, where = t["block"].to_numpy(), t["at"].to_numpy()
+    bits = [np.packbits(bit[a : a + n]).tobytes() for a, n in zip(before[hit].tolist(), count[hit].tolist())]
+    yield pa.RecordBatch.from_arrays([pa.array(block[hit]), pa.array(where[hit]), pa.array(bits, pa.binary())], names=["block", "at", "bits"])
 
 
-def _removed(e: Entries, parts: int, shared: dict[int, bytes], smaller: dict[int, bytes]) -> np.ndarray:
-    """Which bytes of the block go."""
+def _removed(e: Entries, at: np.ndarray, bits: list[bytes], hot_at: np.ndarray, smaller: np.ndarray) -> np.ndarray:
+    """Which bytes of the block go, by what came back of its entries (place of the first one, bits) and of its windows under
+    hot marks (place of the first one, whether a smaller id has it)."""
     n = int(e.offsets[-1])
-    if not shared:
-        return np.zeros(n, bool)
-    g = _groups(e, _shared(e, parts, shared), parts)
-    count = e.count[g.first]
-    bits = np.zeros(int(count.sum()), bool)  # windows of all groups, in the order sent
-    before = np.zeros(len(count), np.int64)
-    before[g.order] = np.cumsum(count[g.order]) - count[g.order]
-    done = 0
-    for p, a, b in _by_part(g.part[g.order]):
-        k = int(count[g.order[a:b]].sum())
-        if p in smaller:
-            bits[done : done + k] = np.unpackbits(np.frombuffer(smaller[p], np.uint8), count=k).astype(bool)
-        done += k
-    sizes = e.count[g.use]
-    hit = bits[_ragged(before[g.group], sizes)] | np.repeat(e.ids[g.use] > g.smallest[g.group], sizes)
-    window = _ragged(e.start[g.use], sizes)[hit]
+    hits = []
+    use = np.flatnonzero(np.isin(e.start, at)) if len(at) else np.zeros(0, np.int64)
+    use = np.flatnonzero(np.isin(e.mark, e.mark[use]) | _in_several(e))
+    if len(use):
+        count = e.count[use]
+        g = _grouped(e.raw, e.start[use], count + WINDOW - 1, e.ids[use])
+        of_group = count[g.first]
+        place = np.cumsum(of_group) - of_group
+        bit = np.zeros(int(of_group.sum()), bool)  # windows of all groups
+        number = np.searchsorted(e.start[use[g.first]], at, sorter=(order := np.argsort(e.start[use[g.first]])))
+        for k, b in zip(order[number].tolist(), bits):
+            bit[place[k] : place[k] + of_group[k]] = np.unpackbits(np.frombuffer(b, np.uint8), count=int(of_group[k])).astype(bool)
+        hit = bit[_ragged(place[g.group], count)] | np.repeat(e.ids[use] > g.smallest[g.group], count)
+        hits.append(_ragged(e.start[use], count)[hit])
+    if len(hot_at):
+        under = np.searchsorted(e.start, hot_at, side="right") - 1  # the entry that the window is part of
+        use = np.flatnonzero(np.isin(e.mark, e.mark[under]))
+        window, ids = _ragged(e.start[use], e.count[use]), np.repeat(e.ids[use], e.count[use])
+        g = _grouped(e.raw, window, np.full(len(window), WINDOW), ids)
+        bit = np.isin(window[g.first], hot_at[smaller])
+        hits.append(window[bit[g.group] | (ids > g.smallest[g.group])])
     cover = np.zeros(n + 1, np.int32)
-    cover[window] += 1  # a window starts once
-    cover[window + WINDOW] -= 1
+    for window in hits:
+        np.add.at(cover, window, 1)
+        np.add.at(cover, window + WINDOW, -1)
     return np.cumsum(cover[:-1]) > 0
 
 
 def _run(documents: DataFrame, result: Callable[[pa.RecordBatch, np.ndarray, np.ndarray], pa.RecordBatch], schema) -> DataFrame:
     """``result`` (rows, bytes' offsets, removed bytes) of every block."""
-    ship(documents.sparkSession)
+    spark = documents.sparkSession
+    ship(spark)
     blocks = _blocks(documents)
     total = blocks.agg(F.sum("bytes")).first()[0] or 0
-    parts = max(8, -(-total // SHARE))
-    marks = blocks.select("block", "data").mapInArrow(_send_marks(parts), _ROW)
-    shared = staged(marks.groupBy("part").applyInArrow(_meet_marks, _ROW), "marks")
-    sent = blocks.select("block", "data").groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_send_entries(parts), _ROW)
-    smaller = sent.groupBy("part").applyInArrow(_meet_entries, _ROW)
-    told = shared.withColumn("kind", F.lit(0)).unionByName(staged(smaller, "windows").withColumn("kind", F.lit(1)))
+    tasks = tasks_for(spark, total, 12 << 20)
+    texts = blocks.select("block", "data")
+    marks = texts.mapInArrow(_send_marks, "mark bigint, own bigint").repartition(tasks, "mark").sortWithinPartitions("mark")
+    shared = staged(marks.mapInArrow(_meet_marks(HOT), "block bigint, mark bigint, hot boolean"), "marks")
+    sent = lambda hot: texts.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_send_entries(hot), _ENTRY)
+    told = sent(False).repartition(tasks, "mark").sortWithinPartitions("mark").mapInArrow(_meet_entries, _TOLD)
+    told = told.select("block", "at", "bits", F.lit(None).cast("boolean").alias("smaller"))
+    if shared.where("hot").limit(1).count():
+        windows = staged(sent(True), "windows", compression="zstd")
+        low = windows.groupBy("data").agg(F.min("least").alias("low"))
+        less = F.col("low") < F.col("least")
+        told = told.unionByName(windows.join(low, "data").where(less | (F.col("count") > 0)).select("block", "at", F.lit(None).cast("binary").alias("bits"), less.alias("smaller")))
+    told = staged(told, "told")
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
-        kinds, part, data = right["kind"].to_pylist(), right["part"].to_pylist(), right["data"].to_pylist()
-        bits: tuple[dict, dict] = ({}, {})
-        for k, p, d in zip(kinds, part, data):
-            bits[k][p] = d
-        out = []
+        of_window = right["smaller"].is_valid().to_numpy()
+        at, bits = right["at"].to_numpy(), right["bits"].to_pylist()
+        smaller = pa.compute.fill_null(right["smaller"], False).to_numpy()
+        out = [empty]
         for blob in left["data"]:
             rows = _table(blob.as_py())
             e = entries(rows)
-            out.append(result(rows, e.offsets, _removed(e, parts, *bits)))
-        return pa.Table.from_batches(out) if out else empty
+            plain = np.flatnonzero(~of_window)
+            out.append(pa.Table.from_batches([result(rows, e.offsets, _removed(e, at[plain], [bits[i] for i in plain.tolist()], at[of_window], smaller[of_window]))]))
+        return pa.concat_tables(out)
 
     empty = _empty(schema)
-    return blocks.select("block", "data").groupBy("block").cogroup(told.groupBy("block")).applyInArrow(finish, schema)
+    return texts.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(finish, schema)
 
 
 def _empty(schema) -> pa.Table:

@@ -101,7 +101,7 @@ def test_entries_under_one_mark(monkeypatch):
     text = "".join(chr(97 + i % 7) + chr(65 + i % 11) for i in range(300))
     batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array([text, text[40:], text])], names=["doc_id", "text"])
     e = suffix_dedup.entries(batch)
-    g = suffix_dedup._groups(e, np.ones(len(e.start), bool), 3)
+    g = suffix_dedup._grouped(e.raw, e.start, e.count + 49, e.ids)
     content = [e.raw[s : s + c + 49].tobytes() for s, c in zip(e.start, e.count)]
     assert len(set(content)) == len(g.first)
-    assert all(content[i] == content[g.first[k]] for i, k in zip(g.use, g.group))
+    assert all(content[i] == content[g.first[k]] for i, k in enumerate(g.group))
