@@ -72,6 +72,17 @@ def staged(df: DataFrame, name: str, **options) -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, name: str, key: str, buckets: int, **options) -> DataFrame:
+    """Like :func:`staged`, in ``buckets`` by a hash of ``key``: groups and joins by it then don't move the table's rows."""
+    spark = df.sparkSession
+    path = scratch(spark, name)
+    known = f"podium_{uuid.uuid4().hex}"
+    df.write.options(**options).bucketBy(buckets, key).option("path", path).saveAsTable(known)
+    out = spark.table(known)
+    out.staged_at = path
+    return out
+
+
 def drop(*tables: DataFrame) -> None:
     """Deletes staged tables; only for tables that no later plan reads."""
     for t in tables:

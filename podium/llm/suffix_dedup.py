@@ -6,7 +6,7 @@ smallest k-mer mark is the same form an entry; equal windows have equal marks wh
 decides where windows meet. First only the marks travel, one row for each mark of a block, and each block learns
 which of its marks occur in another block at all. Then the entries of those marks travel, equal ones once for
 each block. Where they meet, their suffixes are sorted by the deep-shallow scheme: multikey sorting by
-eight bytes at a time down to SHALLOW, then blind tries for the groups that still agree. Each block gets back, for the
+CHARACTER bytes at a time down to SHALLOW, then blind tries for the groups that still agree. Each block gets back, for the
 entries of which a smaller id has a window, one bit for each window. Texts stay in their blocks, and rows grow in
 proportion to them.
 
@@ -27,9 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from podium.llm.common import BASE, BASE_INVERSE, BLOB_ROWS, chunks, gather, numbered, powers, ship, staged, tasks_for
+from podium.llm.common import BASE, BASE_INVERSE, BLOB_ROWS, bucketed, chunks, gather, numbered, powers, ship, staged, tasks_for
 
-WINDOW, KMER, SHALLOW = 50, 16, 16
+WINDOW, KMER, SHALLOW = 50, 16, 30
+#: Bytes of a character of the multikey sort, and windows of an entry at most.
+CHARACTER, LONGEST = 5, 64
 #: Bytes of text in a block; entries under one mark from which windows meet one by one; bytes that meet side by side.
 BLOCK, HOT, TOGETHER = 4 << 20, 1 << 15, 4 << 20
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -66,7 +68,7 @@ def window_marks(raw: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Entries:
-    """Runs of windows with one mark, in a block's joined texts."""
+    """Runs of up to LONGEST windows with one mark, in a block's joined texts."""
 
     raw: np.ndarray  # padded
     offsets: np.ndarray  # of texts
@@ -104,6 +106,11 @@ def entries(batch: pa.RecordBatch) -> Entries:
     finish[:-1] &= begin[1:] | ~inside[1:]
     start = np.flatnonzero(begin)
     count = np.flatnonzero(finish) + 1 - start
+    if (count > LONGEST).any():
+        parts = -(-count // LONGEST)
+        into = _ragged(np.zeros(len(start), np.int64), parts) * LONGEST
+        count = np.minimum(np.repeat(count, parts) - into, LONGEST)
+        start = np.repeat(start, parts) + into
     own = ids[long][np.searchsorted(first, start, side="right") - 1]
     return Entries(np.concatenate([raw, np.zeros(WINDOW, np.uint8)]), offsets, start, count, mark[start], own)
 
@@ -120,9 +127,9 @@ def _blob(batch: pa.RecordBatch) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-def _blocks(documents: DataFrame) -> DataFrame:
-    """``block, bytes, data``: whole rows, a few megabytes of text together; written before use, so that
-    what a block holds never changes."""
+def _blocks(documents: DataFrame) -> tuple[DataFrame, int]:
+    """``block, bytes, data``: whole rows, a few megabytes of text together, and the bytes of all texts. Written before use, so
+    that what a block holds never changes, and in buckets, so that blocks needn't be sent to meet their rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -135,12 +142,14 @@ def _blocks(documents: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([n], pa.int64()), pa.array([_blob(own)], pa.binary())], names=["block", "bytes", "data"])
             at += 1
 
-    return staged(documents.mapInArrow(run, "block bigint, bytes bigint, data binary"), "blocks", **BLOB_ROWS)
+    total = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    rows = documents.mapInArrow(run, "block bigint, bytes bigint, data binary")
+    return bucketed(rows, "blocks", "block", tasks_for(documents.sparkSession, total, 4 * BLOCK), **BLOB_ROWS), total
 
 
 def _in_several(e: Entries) -> np.ndarray:
     """Entries whose mark two documents of the block have."""
-    order = np.lexsort((e.ids, e.mark))
+    order = np.argsort(e.mark)
     mark, ids = e.mark[order], e.ids[order]
     if not len(mark):
         return np.zeros(0, bool)
@@ -193,8 +202,10 @@ def _send_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for block, data in zip(batch.column("block").to_pylist(), batch.column("data")):
             e = entries(_table(data.as_py()))
-            mark, n = np.unique(e.mark, return_counts=True)
-            many = np.flatnonzero(n[np.searchsorted(mark, e.mark)] > 1)
+            order = np.argsort(e.mark)
+            first = np.flatnonzero(np.append(True, e.mark[order][1:] != e.mark[order][:-1])[: len(order)])
+            mark, n = e.mark[order[first]], np.diff(np.append(first, len(order)))
+            many = order[np.repeat(n > 1, n)]
             if len(many):  # equal entries count once
                 g = _grouped(e.raw, e.start[many], e.count[many] + WINDOW - 1, e.ids[many])
                 again, times = np.unique(e.mark[many[g.first]], return_counts=True)
@@ -240,17 +251,17 @@ def _meet_marks(hot_from: int):
     return run
 
 
-_ENTRY = "mark bigint, block bigint, at int, count int, least bigint, data binary"
+_ENTRY, _HOT_WINDOW = ("mark bigint, block bigint, at int, least bigint, data binary", "block bigint, at int, several boolean, least bigint, data binary")
 
 
 def _send_entries(hot: bool):
     """Different entries of a block under the marks that it shares, or with ``hot`` different windows under its hot marks.
 
-    ``at`` is the place of the first one in the block, ``least`` the smallest id that has it. Of windows, ``count`` tells
-    whether several ids of the block have it.
+    ``at`` is the place of the first one in the block, ``least`` the smallest id that has it. Of windows, ``several`` tells
+    whether other ids of the block have it too.
     """
 
-    none = _empty(_ENTRY)
+    none = _empty(_HOT_WINDOW if hot else _ENTRY)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = [none]
@@ -268,14 +279,15 @@ def _send_entries(hot: bool):
             if not len(start):
                 continue
             g = _grouped(e.raw, start, size, ids)
-            count = size[g.first] - WINDOW + 1
+            columns = {"block": np.full(len(g.first), block), "at": start[g.first].astype(np.int32), "least": g.smallest}
             if hot:
-                most = np.zeros(len(g.first), np.int64) + np.iinfo(np.int64).min
+                most = np.full(len(g.first), np.iinfo(np.int64).min)
                 np.maximum.at(most, g.group, ids)
-                count = most > g.smallest
-            n = len(g.first)
-            columns = [mark[g.first].view(np.int64), np.full(n, block), start[g.first].astype(np.int32), count.astype(np.int32), g.smallest]
-            out.append(pa.Table.from_arrays([*map(pa.array, columns), _binary(e.raw, start[g.first], size[g.first])], names=["mark", "block", "at", "count", "least", "data"]))
+                columns["several"] = most > g.smallest
+            else:
+                columns["mark"] = mark[g.first].view(np.int64)
+            columns["data"] = _binary(e.raw, start[g.first], size[g.first])
+            out.append(pa.table({k: columns[k] for k in none.schema.names}))
         return pa.concat_tables(out)
 
     return run
@@ -335,18 +347,22 @@ def sort_windows(raw: np.ndarray, at: np.ndarray, group: np.ndarray) -> tuple[np
 
     Equal windows of a group get one class number. Windows that are alone after the shallow sort are left out.
     """
-    order = np.argsort(group, kind="stable")
-    for depth in range(0, SHALLOW, 8):  # one more character of the multikey sort
-        key, own = _words(raw, at[order] + depth, ">"), group[order]
-        order = order[np.lexsort((key, own))]
-        key, own = _words(raw, at[order] + depth, ">"), group[order]
-        new = np.append(True, (own[1:] != own[:-1]) | (key[1:] != key[:-1])) if len(order) else np.zeros(0, bool)
-        number = np.cumsum(new) - 1
+    order, own = np.arange(len(at)), np.unique(group, return_inverse=True)[1].astype(np.uint64)
+    for depth in range(0, SHALLOW, CHARACTER):  # one more character of the multikey sort
+        key = _words(raw, at[order] + depth, ">") >> np.uint64(64 - 8 * CHARACTER)
+        if len(own) and own.max() >> np.uint64(64 - 8 * CHARACTER):
+            by = np.lexsort((key, own))
+            new = np.append(True, (own[by][1:] != own[by][:-1]) | (key[by][1:] != key[by][:-1]))
+        else:  # group and character in one number
+            key |= own << np.uint64(8 * CHARACTER)
+            by = np.argsort(key)
+            key = key[by]
+            new = np.append(True, key[1:] != key[:-1])[: len(by)]
+        order, number = order[by], np.cumsum(new) - 1
         several = np.bincount(number)[number] > 1 if len(order) else new
-        order = order[several]
-        group = group.copy()
-        group[order] = number[several]
-    own = group[order]
+        order, number = order[several], number[several]
+        own = (np.cumsum(np.append(True, number[1:] != number[:-1])[: len(number)]) - 1).astype(np.uint64)
+    own = own.astype(np.int64)
     if not len(order):
         return order, own
     new = np.append(True, own[1:] != own[:-1])
@@ -375,11 +391,12 @@ def sort_windows(raw: np.ndarray, at: np.ndarray, group: np.ndarray) -> tuple[np
     return order, cls
 
 
-_TOLD = "block bigint, at int, bits binary"
+_TOLD = "block bigint, at int, bits bigint"
 
 
 def _meet_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each entry, one bit for each window: a smaller id than the entry's own has it. Entries without any are left out.
+    """For each entry, one bit for each window, the first one lowest: a smaller id than the entry's own has it. Entries
+    without any are left out.
 
     Rows come in the order of marks; whole marks are looked at together, some megabytes at a time.
     """
@@ -402,13 +419,13 @@ def _meet_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _told(t: pa.Table) -> Iterator[pa.RecordBatch]:
-    count, least = t["count"].to_numpy().astype(np.int64), t["least"].to_numpy()
+    least = t["least"].to_numpy()
     data = t["data"].combine_chunks()
     data = data.chunk(0) if isinstance(data, pa.ChunkedArray) else data
     _, offsets, body = data.buffers()
     offsets = np.frombuffer(offsets, np.int32)[data.offset : data.offset + len(data) + 1].astype(np.int64)
     raw = np.frombuffer(body, np.uint8)[offsets[0] : offsets[-1]]
-    start = offsets[:-1] - offsets[0]
+    start, count = offsets[:-1] - offsets[0], np.diff(offsets) - (WINDOW - 1)
     flat, of = raw.tobytes(), {}
     number = np.array([of.setdefault(flat[a:b], len(of)) for a, b in zip(start.tolist(), (start + count + WINDOW - 1).tolist())])  # equal entries of all blocks are one
     own = np.full(len(of), np.iinfo(np.int64).max)
@@ -429,31 +446,27 @@ def _told(t: pa.Table) -> Iterator[pa.RecordBatch]:
         np.minimum.at(low, cls, own[whose[order]])
         best[(place[whose] + at - start[first[whose]])[order]] = low[cls]
     bit = best[_ragged(place[number], count)] < np.repeat(least, count)
-    before = np.cumsum(count) - count
-    hit = np.flatnonzero(np.logical_or.reduceat(bit, before)) if len(count) else before
-    block, where = t["block"].to_numpy(), t["at"].to_numpy()
-    bits = [np.packbits(bit[a : a + n]).tobytes() for a, n in zip(before[hit].tolist(), count[hit].tolist())]
-    yield pa.RecordBatch.from_arrays([pa.array(block[hit]), pa.array(where[hit]), pa.array(bits, pa.binary())], names=["block", "at", "bits"])
+    bits = np.add.reduceat(bit.astype(np.uint64) << _ragged(np.zeros(len(count), np.int64), count).astype(np.uint64), np.cumsum(count) - count)
+    hit = np.flatnonzero(bits)
+    yield pa.RecordBatch.from_arrays([pa.array(t["block"].to_numpy()[hit]), pa.array(t["at"].to_numpy()[hit]), pa.array(bits[hit].view(np.int64))], names=["block", "at", "bits"])
 
 
-def _removed(e: Entries, at: np.ndarray, bits: list[bytes], hot_at: np.ndarray, smaller: np.ndarray) -> np.ndarray:
+def _removed(e: Entries, at: np.ndarray, bits: np.ndarray, hot_at: np.ndarray, smaller: np.ndarray) -> np.ndarray:
     """Which bytes of the block go, by what came back of its entries (place of the first one, bits) and of its windows under
     hot marks (place of the first one, whether a smaller id has it)."""
     n = int(e.offsets[-1])
     hits = []
-    use = np.flatnonzero(np.isin(e.start, at)) if len(at) else np.zeros(0, np.int64)
-    use = np.flatnonzero(np.isin(e.mark, e.mark[use]) | _in_several(e))
+    use = np.flatnonzero(np.isin(e.mark, e.mark[np.searchsorted(e.start, at)]) | _in_several(e))
     if len(use):
         count = e.count[use]
         g = _grouped(e.raw, e.start[use], count + WINDOW - 1, e.ids[use])
-        of_group = count[g.first]
-        place = np.cumsum(of_group) - of_group
-        bit = np.zeros(int(of_group.sum()), bool)  # windows of all groups
-        number = np.searchsorted(e.start[use[g.first]], at, sorter=(order := np.argsort(e.start[use[g.first]])))
-        for k, b in zip(order[number].tolist(), bits):
-            bit[place[k] : place[k] + of_group[k]] = np.unpackbits(np.frombuffer(b, np.uint8), count=int(of_group[k])).astype(bool)
-        hit = bit[_ragged(place[g.group], count)] | np.repeat(e.ids[use] > g.smallest[g.group], count)
-        hits.append(_ragged(e.start[use], count)[hit])
+        of_group = np.zeros(len(g.first), np.uint64)
+        by = np.argsort(g.first)  # as places in the block
+        of_group[by[np.searchsorted(e.start[use[g.first[by]]], at)]] = bits.view(np.uint64)
+        into = _ragged(np.zeros(len(use), np.int64), count)
+        hit = (np.repeat(of_group[g.group], count) >> into.astype(np.uint64)) & np.uint64(1) > 0
+        hit |= np.repeat(e.ids[use] > g.smallest[g.group], count)
+        hits.append((np.repeat(e.start[use], count) + into)[hit])
     if len(hot_at):
         under = np.searchsorted(e.start, hot_at, side="right") - 1  # the entry that the window is part of
         use = np.flatnonzero(np.isin(e.mark, e.mark[under]))
@@ -461,10 +474,12 @@ def _removed(e: Entries, at: np.ndarray, bits: list[bytes], hot_at: np.ndarray,
         g = _grouped(e.raw, window, np.full(len(window), WINDOW), ids)
         bit = np.isin(window[g.first], hot_at[smaller])
         hits.append(window[bit[g.group] | (ids > g.smallest[g.group])])
-    cover = np.zeros(n + 1, np.int32)
+    starts = np.zeros(n, bool)
     for window in hits:
-        np.add.at(cover, window, 1)
-        np.add.at(cover, window + WINDOW, -1)
+        starts[window] = True
+    cover = np.zeros(n + 1, np.int32)
+    cover[:n] += starts
+    cover[WINDOW:n] -= starts[: n - WINDOW] if n > WINDOW else starts[:0]
     return np.cumsum(cover[:-1]) > 0
 
 
@@ -472,32 +487,30 @@ def _run(documents: DataFrame, result: Callable[[pa.RecordBatch, np.ndarray, np.
     """``result`` (rows, bytes' offsets, removed bytes) of every block."""
     spark = documents.sparkSession
     ship(spark)
-    blocks = _blocks(documents)
-    total = blocks.agg(F.sum("bytes")).first()[0] or 0
+    blocks, total = _blocks(documents)
     tasks = tasks_for(spark, total, 12 << 20)
     texts = blocks.select("block", "data")
     marks = texts.mapInArrow(_send_marks, "mark bigint, own bigint").repartition(tasks, "mark").sortWithinPartitions("mark")
     shared = staged(marks.mapInArrow(_meet_marks(HOT), "block bigint, mark bigint, hot boolean"), "marks")
-    sent = lambda hot: texts.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_send_entries(hot), _ENTRY)
+    sent = lambda hot: texts.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_send_entries(hot), _HOT_WINDOW if hot else _ENTRY)
     told = sent(False).repartition(tasks, "mark").sortWithinPartitions("mark").mapInArrow(_meet_entries, _TOLD)
     told = told.select("block", "at", "bits", F.lit(None).cast("boolean").alias("smaller"))
     if shared.where("hot").limit(1).count():
         windows = staged(sent(True), "windows", compression="zstd")
         low = windows.groupBy("data").agg(F.min("least").alias("low"))
         less = F.col("low") < F.col("least")
-        told = told.unionByName(windows.join(low, "data").where(less | (F.col("count") > 0)).select("block", "at", F.lit(None).cast("binary").alias("bits"), less.alias("smaller")))
+        told = told.unionByName(windows.join(low, "data").where(less | F.col("several")).select("block", "at", F.lit(0).cast("bigint").alias("bits"), less.alias("smaller")))
     told = staged(told, "told")
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         of_window = right["smaller"].is_valid().to_numpy()
-        at, bits = right["at"].to_numpy(), right["bits"].to_pylist()
+        at, bits = right["at"].to_numpy(), right["bits"].to_numpy()
         smaller = pa.compute.fill_null(right["smaller"], False).to_numpy()
         out = [empty]
         for blob in left["data"]:
             rows = _table(blob.as_py())
             e = entries(rows)
-            plain = np.flatnonzero(~of_window)
-            out.append(pa.Table.from_batches([result(rows, e.offsets, _removed(e, at[plain], [bits[i] for i in plain.tolist()], at[of_window], smaller[of_window]))]))
+            out.append(pa.Table.from_batches([result(rows, e.offsets, _removed(e, at[~of_window], bits[~of_window], at[of_window], smaller[of_window]))]))
         return pa.concat_tables(out)
 
     empty = _empty(schema)

@@ -65,7 +65,7 @@ def test_rows_grow_with_texts_only(spark, monkeypatch):
     """Rows that travel are bounded by the texts' bytes, however many blocks there are."""
     monkeypatch.setattr(suffix_dedup, "BLOCK", 2000)
     rows = phrase_rows(100)
-    blocks = suffix_dedup._blocks(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    blocks, total = suffix_dedup._blocks(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
     size = sum(len(t) for _, t in rows)
-    assert blocks.count() >= 8
+    assert blocks.count() >= 8 and total == size
     assert blocks.select("block", "data").mapInArrow(suffix_dedup._send_marks, "mark bigint, own bigint").count() < size / 8
