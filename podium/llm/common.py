@@ -187,13 +187,13 @@ def is_held_out(modulus: int, held_out: int):
 def labelled(documents: DataFrame, labels: DataFrame, label: str, n: int) -> DataFrame:
     """``doc_id, text, label`` of at most ``n`` labelled documents of each class 0 and 1, by a hash of the id.
 
-    The ids of a bounded sample are broadcast; a repeated id counts once. Null texts are empty.
+    The ids of a bounded sample are broadcast; a repeated id counts once, by its smallest text. Null texts are empty.
     """
     marked = labels.where(f"{label} in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min(label).cast("int").alias("label"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     some = [marked.where(F.col("label") == v).orderBy(*order).limit(n) for v in (0, 1)]
     ids = some[0].unionByName(some[1])
-    return texts(documents).join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"])
+    return texts(documents).join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").alias("label"))
 
 
 def gather(flat: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

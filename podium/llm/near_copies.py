@@ -1,6 +1,8 @@
-"""Near copies by exact Jaccard similarity of word shingles: links by shared prefixes, components.
+"""Near copies by exact Jaccard similarity of word shingles: links by SimHash first, then by shared prefixes; components.
 
-Texts with equal sets of shingles are one class. Each class sorts its shingles in one order for all, frequent
+Texts with equal sets of shingles are one class. Classes whose SimHash fingerprints are linked are compared set by set first,
+which joins most copies. Fingerprints alone would miss pairs: at a similarity of 0.8 some ten of 64 bits differ, and no key that
+few enough fingerprints share reaches so far. So an exact way handles the rest. Each class sorts its shingles in one order for all, frequent
 ones last. Two sets of similarity s share a shingle among the first n - ceil(s n) + 1 of each: these
 prefixes decide which classes meet. The places of the shared shingle bound the overlap from above, the parities
 of the sets' parts the difference from below. What is left is compared set by set. The sample that names
@@ -20,6 +22,7 @@ from pyspark.sql import functions as F
 
 from podium.llm.common import chunks, release, representatives, ship, staged, tasks_for, text_mark, texts
 from podium.llm.components import components
+from podium.llm.simhash import fingerprint, links
 
 #: Words of a shingle, and the least similarity of near copies in per cent.
 WIDTH, PERCENT = 5, 80
@@ -83,13 +86,16 @@ def _prefix(s: np.ndarray, often: np.ndarray, place: np.ndarray, percent: int) -
 
 
 def _described(documents: DataFrame, percent: int, width: int) -> DataFrame:
-    """``row, doc_id, mark, key, n, odd, prefix`` of every row: its number, marks of the text and of the set, the set's size, parities and prefix."""
+    """``row, doc_id, mark, key, n, odd, fp, prefix`` of every row: its number, marks of the text and of the set, the set's size,
+    parities, fingerprint and prefix."""
     kind = documents.schema["doc_id"].dataType.simpleString()
     often, place = frequent(documents, width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches, "text", 4 << 20):
-            sets = [shingles(t, width) for t in part.column("text").cast(pa.binary()).to_pylist()]
+            raw = part.column("text").cast(pa.binary()).to_pylist()
+            sets = [shingles(t, width) for t in raw]
+            fps = np.array([fingerprint(t.lower().split(), width) for t in raw], np.uint64)
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column("doc_id"),
@@ -97,14 +103,15 @@ def _described(documents: DataFrame, percent: int, width: int) -> DataFrame:
                     pa.array([_key(s) for s in sets], pa.binary()),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([parities(s) for s in sets], pa.binary()),
+                    pa.array(fps.view(np.int64)),
                     pa.array([_prefix(s, often, place, percent).view(np.int64) for s in sets], pa.list_(pa.int64())),
                 ],
-                names=["doc_id", "mark", "key", "n", "odd", "prefix"],
+                names=["doc_id", "mark", "key", "n", "odd", "fp", "prefix"],
             )
         release()
 
     rows = texts(documents).select("doc_id", "text", text_mark().alias("mark"))
-    got = rows.mapInArrow(run, f"doc_id {kind}, mark bigint, key binary, n bigint, odd binary, prefix array<bigint>")
+    got = rows.mapInArrow(run, f"doc_id {kind}, mark bigint, key binary, n bigint, odd binary, fp bigint, prefix array<bigint>")
     return got.withColumn("row", F.monotonically_increasing_id())
 
 
@@ -218,6 +225,16 @@ def _candidates(met: DataFrame, tasks: int, roots: DataFrame | None, percent: in
     return rows.repartition(tasks, "meeting").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
+def _by_fingerprint(classes: DataFrame) -> DataFrame:
+    """``a, b``: pairs of classes to look at, by links between their fingerprints; classes of one fingerprint go with its first."""
+    first = staged(classes.groupBy("fp").agg(F.min("c").alias("first")), "fingerprints")
+    found = links(first.select("fp"))
+    side = lambda name: first.select(F.col("fp").alias(name), F.col("first").alias(f"{name}_c"))
+    linked = found.join(side("a"), "a").join(side("b"), "b").select(F.least("a_c", "b_c").alias("a"), F.greatest("a_c", "b_c").alias("b"))
+    alike = classes.join(first, "fp").where("c <> first").select(F.col("first").alias("a"), F.col("c").alias("b"))
+    return linked.unionByName(alike).distinct()
+
+
 def _similar(pairs: DataFrame, classes: DataFrame, documents: DataFrame, percent: int, width: int) -> DataFrame:
     """Those of ``pairs`` whose sets are similar. Words travel compressed, as they are smaller than sets."""
 
@@ -258,11 +275,12 @@ def rooted(documents: DataFrame, percent: int = PERCENT, width: int = WIDTH) ->
     ship(spark)
     of_docs = staged(_described(documents, percent, width), "described")
     # A class goes by the number of its first row.
-    classes = staged(of_docs.groupBy("key").agg(F.min("row").alias("c"), F.min("mark").alias("mark"), F.max("n").alias("n"), F.min("odd").alias("odd")), "classes")
+    classes = staged(of_docs.groupBy("key").agg(F.min("row").alias("c"), F.min("mark").alias("mark"), F.max("n").alias("n"), F.min("odd").alias("odd"), F.min("fp").alias("fp")), "classes")
     met = staged(_meetings(of_docs, classes, percent), "met")
     tasks = tasks_for(spark, met.count() * 112, 8 << 20)
-    # Neighbours first, so that a large group is mostly one component before all other pairs are formed.
-    near = staged(_similar(staged(_candidates(met, tasks, None, percent), "pairs"), classes, documents, percent, width), "similar")
+    # Linked fingerprints and neighbours first, so that a large group is mostly one component before all other pairs are formed.
+    some = _by_fingerprint(classes).unionByName(_candidates(met, tasks, None, percent)).distinct()
+    near = staged(_similar(staged(some, "pairs"), classes, documents, percent, width), "similar")
     others = staged(_candidates(met, tasks, components(near), percent), "pairs")
     links = near.unionByName(_similar(others, classes, documents, percent, width))
     roots = components(links).withColumnRenamed("node", "c")

@@ -1,6 +1,6 @@
 """Best-fit packing of tokenised documents into sequences by a grouping genetic algorithm on islands.
 
-Pieces are dealt to shards by a hash, so that every shard has a random choice of lengths. Each shard is one packing
+Pieces are dealt to shards by a hash of their row's number, so that equal ones don't meet and every shard has a random choice of lengths. Each shard is one packing
 problem, on which several islands work. A chromosome is a list of sequences; crossover injects whole
 well-filled sequences of one parent into the other, takes away the sequences there that hold a piece twice, and
 best-fits the pieces these leave without a place. After each epoch an island's best chromosome moves to the next
@@ -189,15 +189,18 @@ def pack(found: DataFrame, capacity: int = 2048, shard: int = SHARD, islands: in
     """
     spark = found.sparkSession
     ship(spark)
-    rows = staged(found, "pieces")
+    columns = found.columns
+    at = "__at"
+    while at in columns:
+        at += "_"
+    # The number of a row in the written table deals equal rows out too, and never changes once it is written.
+    rows = staged(found.withColumn(at, F.monotonically_increasing_id()), "pieces")
     n = rows.count()
     shards = max(1, -(-n // shard))
-    keys = [F.col(c) for c in ("doc_id", "piece", "ids_crc32") if c in rows.columns]
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64(*keys, "length"), F.lit(shards).cast("long")))
-    columns = rows.columns
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64(at), F.lit(shards).cast("long")))
 
     def problem(group: pa.Table) -> pa.Table:
-        size = _sizes(_ordered(group, columns), capacity)
+        size = _sizes(_ordered(group, at), capacity)
         return pa.Table.from_batches([_island_rows([(group["shard"][0].as_py(), k, size.astype(np.int32).tobytes(), None, None, None) for k in range(islands)])])
 
     state = staged(dealt.groupBy("shard").applyInArrow(problem, _ISLAND).repartition(max(1, min(shards * islands, 4096)), "shard", "island").mapInArrow(_epoch(capacity, 0), _ISLAND), "islands")
@@ -212,7 +215,7 @@ def pack(found: DataFrame, capacity: int = 2048, shard: int = SHARD, islands: in
     winner = state.groupBy("shard").agg(F.min_by(F.col("chromosomes")[0], F.struct("bins", "island")).alias("best"))
 
     def place(left: pa.Table, right: pa.Table) -> pa.Table:
-        group = _ordered(left, columns)
+        group = _ordered(left, at)
         size = group["length"].to_numpy()
         whole = size >= capacity
         bins = np.zeros(len(size), np.int64)
@@ -227,13 +230,13 @@ def pack(found: DataFrame, capacity: int = 2048, shard: int = SHARD, islands: in
         number = (np.int64(left["shard"][0].as_py()) << 32) + bins
         return group.select(columns).append_column("sequence_id", pa.array(number)).append_column("offset", pa.array(offset))
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema)
     return dealt.groupBy("shard").cogroup(winner.groupBy("shard")).applyInArrow(place, f"{kinds}, sequence_id bigint, offset bigint")
 
 
-def _ordered(group: pa.Table, columns: list[str]) -> pa.Table:
-    """A shard's rows in an order that doesn't depend on how they came; equal rows are alike."""
-    by = [c for c in ("doc_id", "piece", "start", "length", "ids_crc32") if c in columns]
+def _ordered(group: pa.Table, at: str) -> pa.Table:
+    """A shard's rows in an order that doesn't depend on how they came; rows without an id last, equal rows by their numbers."""
+    by = [c for c in ("doc_id", "piece", "start", "length", "ids_crc32", at) if c in group.column_names]
     return group.take(pa.compute.sort_indices(group, [(c, "ascending") for c in by]))
 
 

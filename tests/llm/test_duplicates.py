@@ -191,3 +191,14 @@ def test_long_chain(spark):
 
 def test_rows_of_helper():
     assert len(rows_of(["x"])[0]) == len(SCHEMA)
+
+
+@pytest.mark.parametrize("hub", [1, 5])
+def test_hubs(spark, monkeypatch, hub):
+    """Stars and chains with every node above a few links a hub."""
+    monkeypatch.setattr(components, "HUB", hub)
+    links = [(0, i) for i in range(1, 40)] + [(100 + i, 101 + i) for i in range(30)] + [(39, 200), (200, 201)]
+    got = {}
+    for r in components.components(spark.createDataFrame(links, "a long, b long")).collect():
+        got.setdefault(r["root"], {r["root"]}).add(r["node"])
+    assert {frozenset(g) for g in got.values()} == closure([frozenset(p) for p in links])

@@ -172,3 +172,27 @@ def test_operators_keep_every_item(size, seed):
         assert sorted(i for x in bins for i in x) == list(range(len(size)))
         assert all(sum(size[i] for i in x) <= 100 for x in bins)
     assert packing._as_bins(packing._as_array(a, len(size))) == [sorted(x) for x in a]
+
+
+def test_equal_rows_are_dealt_out(spark, monkeypatch):
+    """A third of all rows alike, without ids: no shard gets more than its share."""
+    rows = [(None, 0, 0, 1, 7)] * 3000 + [(i, 0, 0, 30 + i % 50, i) for i in range(3000)]
+    found = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long").repartition(3)
+    got = packing.pack(found, capacity=100, shard=300).collect()
+    assert len(got) == 6000
+    by = {}
+    for r in got:
+        by.setdefault(r["sequence_id"] >> 32, []).append(r)
+    assert len(by) == 20 and max(map(len, by.values())) < 420
+
+
+def test_crossover_beats_best_fit():
+    """Where best fit of falling sizes is not at the bound, the generations get closer to it."""
+    better = worse = 0
+    for seed in range(12):
+        rng = np.random.default_rng(seed)
+        size = rng.integers(20, 55, 150).tolist()
+        first = len(packing.best_fit(sorted(range(150), key=size.__getitem__, reverse=True), size, [], 100))
+        last = len(packing.evolve(size, [], 100, seed, generations=60)[0])
+        better, worse = better + (last < first), worse + (last > first)
+    assert better >= 4 and worse == 0
