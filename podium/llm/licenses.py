@@ -1,7 +1,7 @@
 """License scans: ordered signature rules as Spark column expressions.
 
 A text is brought to its lower-case words, each with a space at either end. A rule is a regex over these words,
-a priority and a keyword; only texts with a license word at all are normalised, and only rules whose keyword
+a priority and a keyword: what license texts say themselves, and what texts say of licenses by their names. Only texts with a license word at all are normalised, and only rules whose keyword
 the text has are matched. Of the matches, an interval of words that lies within another one of equal or
 higher priority is suppressed. What is left gives the labels. No Python runs on the executors.
 """
@@ -73,6 +73,127 @@ LICENSES = [
     ("cc", "commons", "creative commons(?: [a-z]+){0,4} licen[cs]e", "cc [a-z]+"),
     ("proprietary", "rights", "all rights reserved", "proprietary"),
 ]
+#: What license texts themselves say, as label, keyword and regex over words.
+SIGNATURES = [
+    ("mit", "permission", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
+    ("mit", "deal", "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense"),
+    ("mit", "permission", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("mit", "warranty", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability"),
+    ("mit", "authors", "in no event shall the authors or copyright holders be liable for any claim damages or other liability"),
+    ("x11", "advertising", "shall not be used in advertising or otherwise to promote the sale use or other dealings in this software"),
+    ("isc", "permission", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    ("isc", "disclaims", "the software is provided as is and (?:the author|isc) disclaims all warranties with regard to this software"),
+    ("isc", "liable", "in no event shall (?:the author|isc) be liable for any special direct indirect or consequential damages"),
+    ("hpnd", "permission", "permission to use copy modify and distribute this software and its documentation for any purpose (?:and )?without fee is hereby granted"),
+    ("postgresql", "agreement", "for any purpose without fee and without a written agreement is hereby granted provided that the above copyright notice"),
+    ("bsd", "redistribution", "redistribution and use in source and binary forms with or without modification are permitted"),
+    ("bsd", "redistributions", "redistributions of source code must retain the above copyright notice(?: this list of conditions)?"),
+    ("bsd", "redistributions", "redistributions in binary form must reproduce the above copyright notice(?: this list of conditions)?"),
+    ("bsd", "endorse", "nor the names of its contributors may be used to endorse or promote products derived from this software"),
+    ("bsd", "advertising", "all advertising materials mentioning features or use of this software must display the following acknowledge?ment"),
+    ("bsd", "contributors", "this software is provided by the (?:copyright holders and contributors|regents and contributors|author) as is and any express or implied warranties"),
+    ("bsd-patent", "patent", "a perpetual worldwide non exclusive no charge royalty free irrevocable patent license to make have made use offer to sell sell import and otherwise transfer this software"),
+    ("apache", "apache", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license"),
+    ("apache", "compliance", "you may not use this file except in compliance with the license you may obtain a copy of the license at"),
+    ("apache", "unless", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis"),
+    ("apache", "contributor", "each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable (?:copyright|patent)? ?license"),
+    ("apache", "notices", "you must cause any modified files to carry prominent notices stating that you changed the files"),
+    ("apache", "derivative", "you must give any other recipients of the work or derivative works a copy of this license"),
+    ("apache", "foundation", "this product includes software developed (?:at|by) the apache software foundation"),
+    ("gpl", "redistribute", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
+    ("gpl", "program", "this program is distributed in the hope that it will be useful but without any warranty"),
+    ("gpl", "verbatim", "everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed"),
+    ("gpl", "received", "you should have received a copy of the gnu general public license along with"),
+    ("gpl", "either", "either version [123] of the license or (?:at your option )?any later version"),
+    ("gpl", "freedom", "the licenses for most software (?:and other practical works )?are designed to take away your freedom to share and change"),
+    ("gpl", "copyleft", "the gnu general public license is a free copyleft license for software and other kinds of works"),
+    ("lgpl", "library", "this library is free software you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public license"),
+    ("lgpl", "received", "you should have received a copy of the gnu (?:lesser|library) general public license along with"),
+    ("lgpl", "library", "the object code form of an application may incorporate material from a header file that is part of the library"),
+    ("agpl", "received", "you should have received a copy of the gnu affero general public license along with"),
+    ("agpl", "remotely", "your modified version must prominently offer all users interacting with it remotely through a computer network"),
+    ("agpl", "copyleft", "the gnu affero general public license is a free copyleft license for software"),
+    ("gfdl", "documentation", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license"),
+    ("gfdl", "invariant", "with no invariant sections no front cover texts and no back cover texts"),
+    ("mpl", "mozilla", "this source code form is subject to the terms of the mozilla public license"),
+    ("mpl", "mpl", "if a copy of the mpl was not distributed with this file you can obtain one at"),
+    ("mpl", "incompatible", "this source code form is incompatible with secondary licenses as defined by the mozilla public license"),
+    ("mpl", "mozilla", "the contents of this file are subject to the mozilla public license version"),
+    ("epl", "eclipse", "this program and the accompanying materials are made available under the terms of the eclipse public license"),
+    ("epl", "eclipse", "the accompanying program is provided under the terms of this eclipse public license"),
+    ("cpl", "common", "the accompanying program is provided under the terms of this common public license"),
+    ("cpl", "recipient", "any use reproduction or distribution of the program constitutes recipient s acceptance of this agreement"),
+    ("cddl", "distribution", "the contents of this file are subject to the terms of the common development and distribution license"),
+    ("cddl", "cddl", "when distributing covered (?:code|software) include this cddl header notice in each file"),
+    ("eupl", "eupl", "licensed under the eupl version 1 [012]"),
+    ("eupl", "union", "this european union public licence the eupl applies to the work"),
+    ("osl", "open", "licensed under the open software license version [123] [01]"),
+    ("afl", "academic", "licensed under the academic free license version [123] [012]"),
+    ("ecl", "educational", "licensed under the educational community license version [12] 0"),
+    ("artistic", "package", "the intent of this document is to state the conditions under which a package may be copied"),
+    ("artistic", "verbatim", "you may make and give away verbatim copies of the source form of the standard version of this package"),
+    ("artistic", "package", "this license establishes the terms under which a given free software package may be copied modified distributed and or redistributed"),
+    ("perl", "perl", "you can redistribute it and or modify it under the same terms as perl itself"),
+    ("zlib", "authors", "in no event will the authors be held liable for any damages arising from the use of this software"),
+    ("zlib", "misrepresented", "the origin of this software must not be misrepresented you must not claim that you wrote the original software"),
+    ("zlib", "altered", "altered source versions must be plainly marked as such and must not be misrepresented as being the original software"),
+    ("boost", "organization", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation"),
+    ("boost", "boost", "distributed under the boost software license version 1 0"),
+    ("unlicense", "unencumbered", "this is free and unencumbered software released into the public domain"),
+    ("unlicense", "anyone", "anyone is free to copy modify publish use compile sell or distribute this software"),
+    ("wtfpl", "fuck", "do what the fuck you want to(?: public license)?"),
+    ("cc0", "waived", "has waived all copyright and related or neighboring rights to"),
+    ("cc0", "deed", "the person who associated a work with this deed has dedicated the work to the public domain"),
+    ("cc-by", "commons", "creative commons attribution(?: [1234] [05])?(?: international| unported| generic)? licen[cs]e"),
+    ("cc-by-sa", "commons", "creative commons attribution share ?alike(?: [1234] [05])?(?: international| unported| generic)? licen[cs]e"),
+    ("cc-by-nd", "commons", "creative commons attribution no ?deriv(?:ative)?s(?: [1234] [05])?(?: international| unported| generic)? licen[cs]e"),
+    ("cc-by-nc", "commons", "creative commons attribution non ?commercial(?: [1234] [05])?(?: international| unported| generic)? licen[cs]e"),
+    ("cc-by-nc-sa", "commons", "creative commons attribution non ?commercial share ?alike(?: [1234] [05])?(?: international| unported| generic)? licen[cs]e"),
+    ("cc-by-nc-nd", "commons", "creative commons attribution non ?commercial no ?deriv(?:ative)?s(?: [1234] [05])?(?: international| unported| generic)? licen[cs]e"),
+    ("ofl", "font", "permission is hereby granted free of charge to any person obtaining a copy of the font software"),
+    ("ofl", "font", "this font software is licensed under the sil open font license"),
+    ("ofl", "reserved", "with reserved font name"),
+    ("python", "python", "this license agreement is between the python software foundation"),
+    ("python", "psf", "psf hereby grants licensee a nonexclusive royalty free world wide license"),
+    ("php", "php", "this product includes php software freely available from"),
+    ("openssl", "openssl", "this product includes software developed by the openssl project"),
+    ("openssl", "cryptographic", "this product includes cryptographic software written by eric young"),
+    ("ncsa", "deal", "to deal with the software without restriction including without limitation the rights to use"),
+    ("ms-pl", "accept", "if you use the software you accept this license if you do not accept the license do not use the software"),
+    ("ijg", "jpeg", "this software is based in part on the work of the independent jpeg group"),
+    ("freetype", "freetype", "portions of this software are copyright(?: [a-z0-9]+){0,6} the freetype project"),
+    ("json", "evil", "the software shall be used for good not evil"),
+    ("beerware", "stuff", "as long as you retain this notice you can do whatever you want with this stuff"),
+    ("sleepycat", "accompanied", "redistributions in any form must be accompanied by information on how to obtain complete source code"),
+    ("openldap", "verbatim", "redistributions must contain a verbatim copy of this document"),
+    ("lppl", "latex", "this work may be distributed and or modified under the conditions of the latex project public license"),
+    ("w3c", "w3c", "w3c software(?: and document)? (?:notice and )?license"),
+    ("unicode", "files", "permission is hereby granted free of charge to any person obtaining a copy of (?:the unicode )?data files and any associated documentation"),
+    ("blueoak", "oak", "blue oak model license"),
+    ("upl", "universal", "universal permissive license"),
+    ("cecill", "cecill", "governed by the cecill(?: [abc])? license"),
+    ("sspl", "server", "server side public license"),
+    ("busl", "business", "business source license"),
+    ("elastic", "elastic", "elastic license(?: 2 0)?"),
+    ("commons-clause", "commons", "commons clause license condition"),
+    ("commons-clause", "sell", "the grant of rights under the license will not include and the license does not grant to you the right to sell the software"),
+    ("odbl", "database", "this (?:[a-z0-9]+ ){1,6}is made available under the open database license"),
+    ("odbl", "contents", "any rights in individual contents of the database are licensed under the database contents license"),
+    ("ogl", "sector", "contains public sector information licensed under the open government licence"),
+    ("public-domain", "holder", "the copyright holder of this work (?:hereby )?releases? (?:it|this work) into the public domain"),
+    ("public-domain", "dedicated", "(?:has been |is )?dedicated to the public domain"),
+    ("public-domain", "released", "(?:has been |is )?released into the public domain"),
+    ("public-domain", "government", "is a work of the united states government(?: [a-z]+){0,12} public domain"),
+    ("proprietary", "unauthori", "unauthori[sz]ed copying of this file via any medium is strictly prohibited"),
+    ("proprietary", "confidential", "this software is the confidential and proprietary information of"),
+    ("proprietary", "part", "no part of this (?:publication|book|document|work|website) may be reproduced"),
+    ("proprietary", "written", "may not be (?:copied|reproduced|distributed|used)(?: [a-z]+){0,8} without (?:the )?(?:prior |express )?(?:prior )?written permission"),
+    ("proprietary", "end", "this end user license agreement(?: eula)? is a legal agreement"),
+    ("proprietary", "reverse", "you may not reverse engineer decompile or disassemble the software"),
+    ("non-commercial", "commercial", "licensed for non ?commercial use only"),
+    ("non-commercial", "personal", "licensed for personal use only"),
+    ("non-commercial", "only", "licensed for (?:academic |research )+(?:use|purposes) only"),
+]
 #: priority (0 is the highest) and phrase.
 FORMS = [
     (0, "(?:licensed|released|distributed|available|published|provided) under (?:the )?(?:terms of )?(?:the )?{name}"),
@@ -84,7 +205,7 @@ FORMS = [
 #: How sure a label of each priority is.
 SURE = [1.0, 0.8, 0.5]
 #: One of these is part of every match (cc by: see gate()).
-GATE = ["licen", "gpl", "wtfpl", "cc0", "domain", "reserved"]
+GATE = ["licen", "gpl", "wtfpl", "cc0", "domain", "reserved", "copyright", "warrant", "redistribut", "liable", "granted", "permi", "eupl", "mpl", "cecill", "software", "fuck", "invariant", "files", "reproduced", "verbatim", "perl", "this notice", "copying", "copied", "cddl", "agreement", "header file", "remotely"]
 #: Marks put around a match; no word has them.
 OPEN, CLOSE = "\u0001", "\u0002"
 
@@ -92,13 +213,16 @@ OPEN, CLOSE = "\u0001", "\u0002"
 @cache
 def rules() -> list[tuple[int, int, str, str, str]]:
     """(priority, number, label, keyword, regex); the regex is over words with two spaces between."""
-    out = []
+    bodies = [(0, label, keyword, text) for label, keyword, text in SIGNATURES]
     for priority, form in FORMS:
         for label, keyword, name, identifier in LICENSES:
             own = keyword if "{name}" in form else "spdx"
-            body = form.replace("{name}", f"(?:{name})").replace("{id}", identifier)
-            # A space inside an optional group stands at its end or start, so doubling it keeps words apart.
-            out.append((priority, len(out), label, own, " (" + body.replace(" ?", "(?:  )?").replace(" ", "  ").replace("(?:    )?", "(?:  )?") + ") "))
+            bodies.append((priority, label, own, form.replace("{name}", f"(?:{name})").replace("{id}", identifier)))
+    out = []
+    for n, (priority, label, keyword, body) in enumerate(sorted(bodies, key=lambda b: b[0])):
+        # A space inside an optional group stands at its end or start, so doubling it keeps words apart.
+        body = body.replace(" ?", "(?:  )?").replace(" ", "  ").replace("(?:    )?", "(?:  )?")
+        out.append((priority, n, label, keyword, f" ({body}) "))
     return out
 
 
@@ -278,7 +402,7 @@ bs AS (
 m AS (
   SELECT rid, priority, number, label,
          string_split(regexp_replace(norm, regex, concat(' ', chr(1), '\\1', chr(2), ' '), 'g'), '  ') AS ws
-  FROM w JOIN r ON contains(norm, concat(' ', keyword, ' ')) AND regexp_matches(norm, regex)
+  FROM w JOIN r ON contains(norm, concat(' ', keyword)) AND regexp_matches(norm, regex)
 ),
 p AS (
   SELECT rid, priority, number, label,
