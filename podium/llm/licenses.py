@@ -363,7 +363,10 @@ def scan(documents: DataFrame) -> DataFrame:
 
 
 def detections(documents: DataFrame) -> DataFrame:
-    """``doc_id, first_word, n_words, label, rule, priority`` of every detection that isn't suppressed."""
+    """``doc_id, first_word, n_words, label, rule, priority`` of every detection that isn't suppressed.
+
+    Null and empty texts have none, repeated rows have theirs each, null ids stay null; other columns are ignored.
+    """
     d = documents.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("_t")).where(gate(F.col("_t")))
     d = d.select("doc_id", F.monotonically_increasing_id().alias("_row"), normal(F.col("_t")).alias("_n"))
     d = d.select("doc_id", "_row", F.explode(matches(F.col("_n"))).alias("_m")).select("doc_id", "_row", "_m.*")

@@ -111,9 +111,13 @@ def _close(group: np.ndarray, fps: np.ndarray, side: np.ndarray, distance: int)
 
 def links(classes: DataFrame, distance: int = 3, count: int | None = None) -> DataFrame:
     """``a, b``: links between fingerprints of ``classes`` (column fp, distinct) that span the same
-    components as all pairs within ``distance`` bits do."""
+    components as all pairs within ``distance`` bits do.
+
+    Null fingerprints link to nothing; no classes, no links. A link may come more than once.
+    """
     spark = classes.sparkSession
     ship(spark)
+    classes = classes.where("fp IS NOT NULL")
     n = classes.count() if count is None else count
     masks = keys(distance, n)
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]

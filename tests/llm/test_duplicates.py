@@ -202,3 +202,9 @@ def test_hubs(spark, monkeypatch, hub):
     for r in components.components(spark.createDataFrame(links, "a long, b long")).collect():
         got.setdefault(r["root"], {r["root"]}).add(r["node"])
     assert {frozenset(g) for g in got.values()} == closure([frozenset(p) for p in links])
+
+
+def test_links_of_odd_tables(spark):
+    rows = spark.createDataFrame([(None,), (0,), (1,), (-1,)], "fp long")
+    assert {tuple(sorted((r["a"], r["b"]))) for r in simhash.links(rows).collect()} == {(0, 1)}
+    assert simhash.links(rows.limit(0)).collect() == []
