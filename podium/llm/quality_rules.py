@@ -1,8 +1,8 @@
 """Quality rules: statistics of whole texts, fixed limits on them, and an isolation forest for the rest.
 
 The forest splits random samples of documents' statistics at random places; a document that is
-alone after few splits is unusual. It grows on documents whatever their labels; how unusual a document may be is set
-on labelled rows.
+alone after few splits is unusual. Each tree has a sample of its own, drawn from all documents whatever their labels; the
+ordinary ranges and how unusual a document may be are set on all labelled rows.
 """
 
 from __future__ import annotations
@@ -12,10 +12,10 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from podium.llm.common import BASE_INVERSE, chunks, labelled, learning_rows, numbered, powers, ship, texts
+from podium.llm.common import BASE_INVERSE, chunks, drop, learning_rows, numbered, powers, ship, staged, texts
 from podium.llm.common import BASE as FACTOR
 
 #: Symbols that are counted, and the length of a repeated passage in words.
@@ -189,15 +189,20 @@ class Forest:
 
 
 def grow(rows: np.ndarray, ranges: np.ndarray, trees: int = 100, sample: int = 256, seed: int = 0) -> Forest:
-    """An isolation forest on ``rows`` (documents by statistics), as far as they are outside ``ranges``."""
+    """An isolation forest on ``rows`` (documents by statistics), as far as they are outside ``ranges``. Of enough rows, none
+    is in two trees' samples."""
     rng = np.random.default_rng(seed)
     rows = excess(rows, ranges)
     sample = max(2, min(sample, len(rows)))
     depth = int(np.ceil(np.log2(sample)))
     nodes = 2 ** (depth + 1) - 1
     feature, threshold, length = np.full((trees, nodes), -1), np.zeros((trees, nodes)), np.zeros((trees, nodes))
+    own_rows = rng.permutation(len(rows)) if len(rows) >= trees * sample else None
     for k in range(trees):
-        here = {0: rng.choice(len(rows), sample, replace=False) if len(rows) >= sample else np.arange(len(rows))}
+        if own_rows is not None:
+            here = {0: own_rows[k * sample : (k + 1) * sample]}
+        else:
+            here = {0: rng.choice(len(rows), sample, replace=False) if len(rows) >= sample else np.arange(len(rows))}
         for node in range(nodes):
             own = here.pop(node, None)
             if own is None:
@@ -259,25 +264,84 @@ def _with_statistics(documents: DataFrame, more: list[str]) -> DataFrame:
     return documents.select("text", *kinds).mapInArrow(run, schema)
 
 
-def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", n: int = 6000, modulus: int = 4, held_out: int = 2, seed: int = 0) -> Forest:
-    """A forest over at most ``n`` documents, whatever their labels; its limit is set on at most ``n`` labelled ones of each
-    class, whose good ones also give the ordinary ranges. Both samples go by a hash of the id.
+def ordinary_of(rows: DataFrame, tail: float = 0.0005) -> np.ndarray:
+    """:func:`ordinary` of all rows of a table with SHARES, by their exact ranks.
+
+    Only the different values of both tails come to the driver, some thousandth of the rows: up to where an approximate
+    quantile surely is beyond the rank that is looked for.
+    """
+    n = rows.count()
+    at = (n - 1) * tail
+    far, cover = 2 * tail + 3 / n, 0
+    while cover < min(n, int(at) + 2):
+        ends = rows.agg(*[F.percentile_approx(c, [min(far, 1.0), max(1 - far, 0.0)], 10_000).alias(c) for c in SHARES]).first()
+        value = lambda c, side, inside: F.when(inside, F.struct(F.lit(c).alias("c"), F.lit(side).alias("side"), F.col(c).alias("x")))
+        both = [v for c in SHARES for v in (value(c, 0, F.col(c) <= ends[c][0]), value(c, 1, F.col(c) >= ends[c][1]))]
+        tails = rows.select(F.explode(F.array_compact(F.array(*both))).alias("v")).groupBy("v.c", "v.side", "v.x").count().toPandas()
+        cover = tails.groupby(["c", "side"])["count"].sum().min()
+        far *= 2
+    out = np.empty((2, len(SHARES)))
+    for (c, side), own in tails.groupby(["c", "side"]):
+        own = own.sort_values("x", ascending=side == 0)
+        near, next_ = own["x"].to_numpy()[np.searchsorted(own["count"].to_numpy().cumsum(), [int(at), min(int(at) + 1, n - 1)], side="right")]
+        out[side, SHARES.index(c)] = near + (next_ - near) * (at - int(at))
+    return np.stack([*out, np.maximum(out[1] - out[0], 1e-3)])
+
+
+def calibrate_on(forest: Forest, rows: DataFrame, price: float = 20.0, parts: int = 1024) -> Forest:
+    """:func:`calibrate` on all rows of a table with SHARES and ``label``.
+
+    Scores are cut into ``parts``; in each, running sums find the least cost, which rows of other parts raise or lower for
+    all its cuts alike. So one row of each part comes to the driver.
+    """
+    ship(rows.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.stack([batch.column(c).to_numpy() for c in SHARES], axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(forest.scores(x)), batch.column("label")], names=["score", "label"])
+
+    scored = rows.select(*SHARES, F.col("label").cast("int")).mapInArrow(run, "score double, label int")
+    per = scored.groupBy("score").agg(F.sum("label").alias("good"), F.sum(1 - F.col("label")).alias("bad"))
+    per = per.withColumn("part", F.floor(F.col("score") * parts))
+    upto = Window.partitionBy("part").orderBy("score")
+    cost = F.sum("bad").over(upto) - price * F.sum("good").over(upto)
+    per = per.select("*", F.struct(cost.alias("cost"), (-F.col("score")).alias("score"), F.lead("score").over(upto).alias("over")).alias("at"))
+    got = per.groupBy("part").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"), F.min("score").alias("first"), F.min("at").alias("at")).orderBy("part").collect()
+    before, best = 0.0, (np.inf, 0.0, np.inf)
+    for r, after in zip(got, [*(x["first"] for x in got[1:]), np.inf]):
+        over = after if r["at"]["over"] is None else r["at"]["over"]
+        best = min(best, (before + r["at"]["cost"], r["at"]["score"], over))  # the highest of equals
+        before += r["bad"] - price * r["good"]
+    return replace(forest, limit=float((best[2] - best[1]) / 2))
+
+
+def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", modulus: int = 4, held_out: int = 2, seed: int = 0, trees: int = 100, sample: int = 256) -> Forest:
+    """A forest whose trees' samples, ``sample`` documents each, are drawn from all documents, whatever their labels, by a hash
+    of the id. Its limit is set on all labelled ones, whose good ones also give the ordinary ranges.
 
     Documents that the fixed limits reject take no part, nor do labels whose id's crc32 is ``held_out`` modulo
-    ``modulus``: these measure what the forest is worth. Without labelled rows nothing is unusual.
+    ``modulus``: these measure what the forest is worth. A repeated id counts once, by its least statistics. Without labelled
+    rows nothing is unusual.
     """
-    got = _with_statistics(labelled(documents, learning_rows(labels, modulus, held_out), label, n), ["label"]).orderBy("doc_id").toPandas()
-    ids = documents.where("doc_id IS NOT NULL").select("doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(n)
-    some = texts(documents).join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
-    every = _with_statistics(some, []).orderBy("doc_id").toPandas()
-    s, u = ({c: t[c].to_numpy() for c in STATISTICS} for t in (got, every))
-    use, used = ~base_failed(s), ~base_failed(u)
-    rows, good = _matrix(s)[use], got["label"].to_numpy()[use] == 1
-    if good.sum() < 2 or used.sum() < 2:
+    passed = _with_statistics(texts(documents.where("doc_id is not null")), []).where("n_words >= 20 and 100 * n_repeat_words <= 30 * n_words")
+    once = passed.groupBy("doc_id").agg(F.min(F.struct(*SHARES)).alias("s")).select("doc_id", "s.*")
+    marked = learning_rows(labels, modulus, held_out).where(f"{label} in (0, 1)").groupBy("doc_id").agg(F.min(label).cast("int").alias("label"))
+    every = staged(once.join(marked, "doc_id", "left"), "statistics")
+    known = every.where("label is not null")
+    good = known.where("label = 1")
+    if good.limit(2).count() < 2:
         none = np.zeros((2, len(SHARES)))
-        return grow(none, ordinary(none), trees=1, seed=seed)
-    forest = grow(_matrix(u)[used], ordinary(rows[good]), seed=seed)
-    return calibrate(forest, forest.scores(rows), good)
+        forest = grow(none, ordinary(none), trees=1, seed=seed)
+    else:
+        ranges = ordinary_of(good)
+        most, mark = trees * sample, F.xxhash64("doc_id", F.lit(seed))
+        share = (most + 6 * most**0.5 + 10) / every.count()  # of the marks: some more rows than are drawn, so that few are sorted
+        some = every.where(mark < int(share * 2.0**64) - 2**63) if share < 0.99 else every
+        drawn = some.orderBy(mark, "doc_id").limit(most).select(*SHARES).toPandas()
+        forest = calibrate_on(grow(drawn.to_numpy(float), ranges, trees, sample, seed), known)
+    drop(every)
+    return forest
 
 
 def apply(documents: DataFrame, forest: Forest) -> DataFrame:
