@@ -196,13 +196,21 @@ def labelled(documents: DataFrame, labels: DataFrame, label: str, n: int) -> Dat
     return texts(documents).join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").alias("label"))
 
 
+#: Bytes that are gathered at a time: their places take sixteen times as much.
+GATHERED = 1 << 19
+
+
 def gather(flat: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Concatenates slices of ``flat`` by their places and sizes, and where each starts in the result."""
     to = np.zeros(len(sizes) + 1, np.int64)
     np.cumsum(sizes, out=to[1:])
-    at = np.repeat(begin - to[:-1], sizes)
-    at += np.arange(len(at))
-    return np.take(flat, at, mode="clip"), to
+    out = np.empty(to[-1], flat.dtype)
+    cuts = np.unique(np.append(np.searchsorted(to, np.arange(0, to[-1], GATHERED)), len(sizes)))
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        at = np.repeat(begin[a:b] - to[a:b], sizes[a:b])
+        at += np.arange(to[a], to[b])
+        out[to[a] : to[b]] = np.take(flat, at, mode="clip") if len(at) else 0
+    return out, to
 
 
 def same_as_before(flat: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:

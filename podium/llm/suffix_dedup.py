@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from podium.llm.common import BASE, BASE_INVERSE, BLOB_ROWS, bucketed, chunks, gather, numbered, powers, ship, staged, tasks_for
+from podium.llm.common import BASE, BASE_INVERSE, BLOB_ROWS, bucketed, chunks, gather, numbered, powers, release, ship, staged, tasks_for
 
 WINDOW, KMER, SHALLOW = 50, 16, 30
 #: Bytes of a character of the multikey sort, and windows of an entry at most.
@@ -44,9 +44,20 @@ def _words(raw: np.ndarray, at: np.ndarray | None = None, order: str = "<") -> n
     return view[at].astype(np.uint64) if at is not None else view
 
 
+#: Places whose marks are computed at a time, so that the steps between need little memory.
+PIECE = 1 << 18
+
+
 def window_marks(raw: np.ndarray) -> np.ndarray:
     """The smallest 40-bit k-mer mark of the window that starts at each place of ``raw``; its last WINDOW
     places have none. Equal windows have equal marks."""
+    if len(raw) < PIECE + WINDOW:
+        return _piece_marks(raw)
+    pieces = [_piece_marks(raw[a : a + PIECE + WINDOW - 1])[:PIECE] for a in range(0, len(raw) - WINDOW + 1, PIECE)]
+    return np.concatenate(pieces)
+
+
+def _piece_marks(raw: np.ndarray) -> np.ndarray:
     n = len(raw)
     padded = np.concatenate([raw, np.zeros(KMER + 8, np.uint8)])
     w = _words(padded)
@@ -141,6 +152,7 @@ def _blocks(documents: DataFrame) -> tuple[DataFrame, int]:
             own = part.take(pa.array(range(part.num_rows)))
             yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([n], pa.int64()), pa.array([_blob(own)], pa.binary())], names=["block", "bytes", "data"])
             at += 1
+        release()
 
     total = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     rows = documents.mapInArrow(run, "block bigint, bytes bigint, data binary")
@@ -178,7 +190,9 @@ class Groups:
 def _grouped(raw: np.ndarray, start: np.ndarray, size: np.ndarray, ids: np.ndarray) -> Groups:
     n = len(raw)
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(np.take(_MARKS, raw) * powers(BASE, n)[:n], out=sums[1:])
+    np.take(_MARKS, raw, out=sums[1:], mode="clip")
+    sums[1:] *= powers(BASE, n)[:n]
+    np.cumsum(sums, out=sums)
     key = (sums[start + size] - sums[start]) * powers(BASE_INVERSE, n)[start] + size.astype(np.uint64) * _B
     key ^= key >> np.uint64(31)
     _, first, group = np.unique(numbered(key, raw, start, size), return_index=True, return_inverse=True)
@@ -213,6 +227,7 @@ def _send_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = (block << _N) + np.minimum(n, (1 << _N) - 1)
             for a in range(0, len(mark), 1 << 16):
                 yield pa.RecordBatch.from_arrays([pa.array(mark[a : a + (1 << 16)].view(np.int64)), pa.array(own[a : a + (1 << 16)])], names=["mark", "own"])
+            release()
 
 
 def _meet_marks(hot_from: int):
@@ -247,6 +262,7 @@ def _meet_marks(hot_from: int):
             mark, own = mark[end:], own[end:]
             for o, m, hot in out:
                 yield pa.RecordBatch.from_arrays([pa.array(o >> _N), pa.array(m), pa.array(hot)], names=["block", "mark", "hot"])
+        release()
 
     return run
 
@@ -288,6 +304,8 @@ def _send_entries(hot: bool):
                 columns["mark"] = mark[g.first].view(np.int64)
             columns["data"] = _binary(e.raw, start[g.first], size[g.first])
             out.append(pa.table({k: columns[k] for k in none.schema.names}))
+            del e, g, start, size, ids, columns
+        release()
         return pa.concat_tables(out)
 
     return run
@@ -416,6 +434,7 @@ def _meet_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             rest = t.slice(end)
             held = rest.combine_chunks().to_batches()
             size = sum(b.column("data").nbytes for b in held)
+            release()
 
 
 def _told(t: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -511,6 +530,8 @@ def _run(documents: DataFrame, result: Callable[[pa.RecordBatch, np.ndarray, np.
             rows = _table(blob.as_py())
             e = entries(rows)
             out.append(pa.Table.from_batches([result(rows, e.offsets, _removed(e, at[~of_window], bits[~of_window], at[of_window], smaller[of_window]))]))
+            del rows, e
+        release()
         return pa.concat_tables(out)
 
     empty = _empty(schema)
